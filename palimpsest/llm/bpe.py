@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkCache
+from .common import map_arrow
 
 _MOST_PAIRS = 1_000_000
 
@@ -160,4 +161,4 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * with_ids)
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * with_ids)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}/{name}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_palimpsest_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), "palimpsest.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    sc.addPyFile(path)
+    sc._palimpsest_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache
-from .common import materialize, small
+from .common import map_arrow, materialize, small
 
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
 #: A segment is closed with the document that fills it.
@@ -191,7 +191,7 @@ def token_segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFram
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
     # the sort's order makes tasks consecutive shards
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    return ordered.mapInArrow(run, f"shard int, segment int, doc_ids array<{kind.simpleString()}>, sizes array<bigint>, ids binary")
+    return map_arrow(ordered, run, f"shard int, segment int, doc_ids array<{kind.simpleString()}>, sizes array<bigint>, ids binary")
 
 
 def id_counts(segments: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def id_counts(segments: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return segments.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(segments.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
@@ -229,7 +229,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple
 
     names = ["shard", "segment", "doc_ids", "sizes", "data"]
     kind = segments.schema["doc_ids"].dataType.simpleString()
-    coded = segments.mapInArrow(run, f"shard int, segment int, doc_ids {kind}, sizes array<bigint>, data binary")
+    coded = map_arrow(segments, run, f"shard int, segment int, doc_ids {kind}, sizes array<bigint>, data binary")
     return materialize(coded, "segments"), lengths
 
 
@@ -251,7 +251,7 @@ def read_token_files(files: DataFrame, lengths: np.ndarray, with_ids: bool = Tru
 
     names = ["doc_id", "at", "n_tokens", "ids_crc32", "shard", "segment", *["ids"] * with_ids]
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = files.select("shard", "segment", "doc_ids", "sizes", "data").mapInArrow(run, f"doc_id {kind}, at long, n_tokens long, ids_crc32 long, shard int, segment int" + ", ids binary" * with_ids)
+    rows = map_arrow(files.select("shard", "segment", "doc_ids", "sizes", "data"), run, f"doc_id {kind}, at long, n_tokens long, ids_crc32 long, shard int, segment int" + ", ids binary" * with_ids)
     sizes = files.select("shard", "segment", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, source_mix, token_files, url_reputation
+from . import bpe, pii, source_mix, token_files, url_reputation, webp
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.store(table(spark, sf_dir, "documents"), with_media=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_pii": op2_pii,
     "op5_source_mix": op5_source_mix,
     "op7_token_files": op7_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {

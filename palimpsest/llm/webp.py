@@ -7,8 +7,8 @@ pictures WIDTH wide with a prefix code of its own for each, long repeats as back
 palette where few values occur; the other channels are constant. Payloads of over TILE samples are
 stored as several pictures, one file after another.
 
-Pictures of a batch that have a single group of codes are decoded side by side, one symbol of
-each at a time; one that comes upon a back-reference or uses a colour cache goes on by itself.
+Pictures of a batch in which only green varies, with a single group of codes, are decoded side by
+side, one symbol of each at a time; all others one by one.
 
 Defined results: null text is empty; a payload has at least 64 bytes. Equal texts give equal files.
 """
@@ -292,6 +292,70 @@ def _unpredict(pixels: np.ndarray, height: int, width: int, block: int, modes: n
     return np.array(rest, np.uint8).reshape(-1).view(np.uint32)
 
 
+def _side_by_side(files: list[bytes], pictures: list[Picture], lanes: list[int]) -> Iterator[tuple[int, np.ndarray | None]]:
+    """The green samples of pictures in which only green varies; None for a picture that uses the colour cache."""
+    if not lanes:
+        return
+    n = np.array([pictures[i].xsize * pictures[i].height for i in lanes])
+    raw = np.frombuffer(b"".join(files[i] for i in lanes) + b"\0\0\0", np.uint8).astype(np.uint32)
+    window = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    limit = len(window) * 8 - 1
+
+    def joined(tables):
+        return np.concatenate([t for t, _ in tables]), np.cumsum([0, *(len(t) for t, _ in tables[:-1])]), np.array([(1 << b) - 1 for _, b in tables], np.uint32)
+
+    flat, base, mask = joined([pictures[i].groups[0][0] for i in lanes])
+    far, far_base, far_mask = joined([pictures[i].groups[0][4] for i in lanes])
+    bit = np.cumsum([0, *(len(files[i]) for i in lanes[:-1])]) * 8 + np.array([pictures[i].bits.at for i in lanes])
+    offset = np.cumsum(n) - n
+    to, end = offset.copy(), offset + n
+    green, stopped, lane, copies = np.zeros(int(n.sum()), np.uint8), np.zeros(len(lanes), bool), np.arange(len(lanes)), []
+
+    def peek(at):
+        at = np.minimum(at, limit)
+        return window[at >> 3] >> (at & 7).astype(np.uint32)
+
+    def number(symbol, at):  # lengths and distances
+        more = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+        value = (peek(at) & ((1 << more) - 1).astype(np.uint32)).astype(np.int64)
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << more) + value + 1), at + more
+
+    while len(lane):
+        got = flat[base + (peek(bit) & mask)]
+        symbol = got >> 4
+        bit = bit + (got & 15)
+        green[to] = symbol  # a back-reference overwrites it later
+        step = 1
+        if symbol.max() > 255:
+            step = np.ones(len(lane), np.int64)
+            stopped[lane[symbol >= 280]] = True
+            some = np.flatnonzero((symbol > 255) & (symbol < 280))
+            length, at = number(symbol[some] - 256, bit[some])
+            got = far[far_base[lane[some]] + (peek(at) & far_mask[lane[some]])]
+            back, bit[some] = number(got >> 4, at + (got & 15))
+            copies.append((lane[some], to[some], length, back))
+            step[some] = length
+        to = to + step
+        going = (to < end) & ~stopped[lane] & (bit <= limit)
+        if not going.all():
+            stopped[lane[~going & ((to > end) | (bit > limit))]] = True  # damaged: the other way raises
+            lane, base, mask, bit, to, end = (x[going] for x in (lane, base, mask, bit, to, end))
+    if copies:
+        where, to, length, back = (np.concatenate(x) for x in zip(*copies, strict=True))
+        widths = np.array([pictures[i].xsize for i in lanes])[where]
+        near = np.array(NEAR)
+        close = near[np.minimum(back, 120) - 1]
+        back = np.where(back > 120, back - 120, np.maximum(1, close[:, 0] + close[:, 1] * widths))
+        stopped[where[to - back < offset[where]]] = True
+        for k, t, m, b in zip(where.tolist(), to.tolist(), length.tolist(), back.tolist(), strict=True):
+            if not stopped[k]:  # a lane's copies come in their order
+                for done in range(0, m, b):
+                    step = min(b, m - done)
+                    green[t + done : t + done + step] = green[t + done - b : t + done - b + step]
+    for k, i in enumerate(lanes):
+        yield i, None if stopped[k] else green[offset[k] : offset[k] + n[k]]
+
+
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """ARGB pixels of each file, rows of columns."""
     pictures, out = [Picture(x) for x in files], [None] * len(files)
@@ -299,41 +363,14 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
     for i, p in enumerate(pictures):
         plain = not p.cache and not p.blocks and all(p.groups[0][k][1] == 0 for k in (1, 2, 3))
         (lanes if plain else alone).append(i)
-    lanes.sort(key=lambda i: -pictures[i].xsize * pictures[i].height)
-    if lanes:
-        sizes = np.array([pictures[i].xsize * pictures[i].height for i in lanes])
-        tables = [pictures[i].groups[0][0] for i in lanes]
-        raw = np.frombuffer(b"".join(files[i] for i in lanes) + b"\0\0\0", np.uint8).astype(np.uint32)
-        window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-        starts = np.cumsum([0, *(len(files[i]) for i in lanes[:-1])]) * 8
-        at = starts + np.array([pictures[i].bits.at for i in lanes])
-        flat, base, mask = np.concatenate([t for t, _ in tables]), np.cumsum([0, *(len(t) for t, _ in tables[:-1])]), np.array([(1 << b) - 1 for _, b in tables], np.uint32)
-        green, offset = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes) - sizes
-        stopped = np.zeros(len(lanes), bool)
-        active = np.arange(len(lanes))
-        for i in range(int(sizes[0])):
-            gone = int(np.searchsorted(-sizes[active], -i, "left")) if sizes[active[-1]] <= i else len(active)
-            if gone < len(active):
-                active, at, base, mask = active[:gone], at[:gone], base[:gone], mask[:gone]
-            if not len(active):
-                break
-            got = flat[base + (window[at >> 3] >> (at & 7).astype(np.uint32) & mask)]
-            symbol = got >> 4
-            if (symbol > 255).any():
-                go = symbol < 256
-                stopped[active[~go]] = True
-                active, at, base, mask, got, symbol = active[go], at[go], base[go], mask[go], got[go], symbol[go]
-                if not len(active):
-                    break
-            green[offset[active] + i] = symbol
-            at = at + (got & 15)
-        for k, i in enumerate(lanes):
-            if stopped[k]:
-                alone.append(i)
-                continue
-            g = pictures[i].groups[0]
-            rest = int(g[3][0][0] >> 4) << 24 | int(g[1][0][0] >> 4) << 16 | int(g[2][0][0] >> 4)
-            out[i] = pictures[i].finish(green[offset[k] : offset[k] + sizes[k]].astype(np.uint32) << 8 | np.uint32(rest))
+    for some, green in _side_by_side(files, pictures, lanes):
+        p = pictures[some]
+        if green is None:
+            alone.append(some)
+            continue
+        g = p.groups[0]
+        rest = int(g[3][0][0] >> 4) << 24 | int(g[1][0][0] >> 4) << 16 | int(g[2][0][0] >> 4)
+        out[some] = p.finish(green.astype(np.uint32) << 8 | np.uint32(rest))
     for i in alone:
         p = pictures[i]
         out[i] = p.finish(pixels_of(p.bits, p.xsize, p.height, p.cache, p.blocks, p.groups))

@@ -200,8 +200,8 @@ class Field:
                 np.add.at(met, (y[a], y[b]), 1)
                 np.add.at(met, (y[b], y[a]), 1)
             part = (met.sum(0) + 1) / (met.sum() + len(LABELS))
-            apart = part * part[:, None]  # if labels met by chance
-            return np.clip(np.log((met + 20 * apart) / (met.sum() + 20) / apart), -2.5, 2.5)
+            by_chance = met.sum() * part * part[:, None]
+            return np.clip(np.log((met + 1) / (by_chance + 1)), -2.5, 2.5)
 
         return cls(own, pair(graph.chain), pair(graph.skip))
 

@@ -109,7 +109,7 @@ def _forward(layers: tuple, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hidden, hidden @ c + d
 
 
-def _network(x: np.ndarray, y: np.ndarray, steps: int = 600) -> tuple:
+def _network(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple:
     """Two layers by Adam on the cross-entropy, the rarer label weighted up by half."""
     r = np.random.default_rng(5)
     mean, scale = x.mean(0), x.std(0) + 1e-3

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, source_mix, token_files, url_reputation, webp
+from . import bpe, ngram_lm, pii, quality, source_mix, token_files, url_reputation, webp
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_quality": op4_quality,
     "op5_source_mix": op5_source_mix,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_token_files": op7_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media": op10_media,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_lm, pii, quality, source_mix, token_files, url_reputation, webp
+from . import bpe, ngram_lm, pii, quality, source_mix, token_files, topk, url_reputation, webp
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_ngram_lm": op6_ngram_lm,
     "op7_token_files": op7_token_files,
+    "op8_topk": op8_topk,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media": op10_media,
 }
@@ -57,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation.oracle(),
     "op5_source_mix": source_mix.oracle(),
+    "op8_topk": topk.oracle(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_lm, pii, quality, source_mix, token_files, topk, url_reputation, webp
+from . import bpe, neardup, ngram_lm, pii, quality, source_mix, token_files, topk, url_reputation, webp
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +54,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_pii": op2_pii,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op5_source_mix": op5_source_mix,
     "op6_ngram_lm": op6_ngram_lm,

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkCache
+from .chunks import ChunkCache, Kept
 from .common import map_arrow
 
 _MOST_PAIRS = 1_000_000
@@ -58,7 +59,7 @@ class Backtracking:
                     self.left[rank], self.right[rank] = a, b
                     self.joined[a, b] = rank
                     break
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(600_000)
 
     def _stand(self, a: int, b: int) -> bool:
         """Whether a and b stay neighbours: undo the later merge again and again; no pair across may join before."""
@@ -117,14 +118,13 @@ class Backtracking:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit integers."""
         out, kept = [], self.kept
-        if len(kept) > 400_000:
-            kept.clear()
+        kept.trim()
         for text in texts:
             ids = []
             for x in self.pattern.findall(text):
                 got = kept.get(x)
                 if got is None:
-                    got = np.array(self.piece(x.encode()), "<u4").tobytes()
+                    got = array("I", self.piece(x.encode())).tobytes()
                     if len(x) < 100:
                         kept[x] = got
                 ids.append(got)

@@ -8,7 +8,7 @@ Most chunks recur: their ids are kept, in a cache of bounded size, as little-end
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 #: A space beside other white space: only the split pattern itself can cut such texts.
 _UNSAFE = re.compile(r"\s | \s")
@@ -19,16 +19,35 @@ def chunks(text: str) -> list[str] | None:
     return None if _UNSAFE.search(text) else text.split(" ")
 
 
+class Kept:
+    """Values by key in two generations: when the young one is full, it becomes the old one, and only what is asked for again moves on."""
+
+    def __init__(self, most: int):
+        self.most = most // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.young[key] = got
+        return got
+
+    def __setitem__(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+
+    def trim(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
 class ChunkCache:
     """ids of texts through encode_many(chunks) -> ids as bytes; most: chunks kept at a time."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 500_000):
-        self.encode_many, self.most = encode_many, most
-        self.kept: dict[str, bytes] = {}
-
-    def _add(self, missing: Iterable[str]) -> None:
-        new = list(missing)
-        self.kept.update(zip(new, self.encode_many([" " + x for x in new]), strict=True))
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 400_000):
+        self.encode_many, self.kept = encode_many, Kept(most)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -41,11 +60,12 @@ class ChunkCache:
                 out.append(self.encode_many([text])[0])
                 continue
             first, rest = parts[0], parts[1:]
-            if len(self.kept) > self.most:
-                self.kept.clear()
-            got = list(map(self.kept.get, rest))
+            self.kept.trim()
+            young = self.kept.young
+            got = list(map(young.get, rest))
             if None in got:
-                self._add({x for x, y in zip(rest, got, strict=True) if y is None})
-                got = map(self.kept.__getitem__, rest)
+                missing = [x for x in {x for x, y in zip(rest, got, strict=True) if y is None} if self.kept.get(x) is None]
+                young.update(zip(missing, self.encode_many([" " + x for x in missing]), strict=True))
+                got = map(young.__getitem__, rest)
             out.append((self.encode_many([first])[0] if first else b"") + b"".join(got))
         return out

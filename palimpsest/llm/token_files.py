@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import ChunkCache, Kept
 from .common import map_arrow, materialize, small
 
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
@@ -36,45 +37,57 @@ MAX_BITS, BLOCK, END_ID = 16, 256, 2
 SEGMENT_IDS = 500_000
 MAGIC = b"PTK1"
 
-_WORD = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
+#: A word, with the space in front, and signs after it: two pieces of the split pattern.
+_WORD = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)?")
+
+_BESIDE_LINE_END = re.compile(r"\s\n|\n\s|^\n|\n$")
 
 
 @functools.cache
 def tokenizer(path: str) -> ChunkCache:
-    """A cache in front of the library, one for each process; special tokens' strings are ordinary text."""
+    """A cache in front of the library, one for each process; special tokens' strings are ordinary text.
+
+    Chunks that are plainly one or two pieces go to the library's model by themselves, all
+    others through its whole way from text to ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    plain = lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
-    (line_end, *more), kept = plain(["\n"])[0], {}
+    model, kept = own.model, Kept(700_000)
+    by_pieces = own.normalizer is None and isinstance(own.pre_tokenizer, pre_tokenizers.ByteLevel) and not own.pre_tokenizer.add_prefix_space
+    # what byte-level vocabularies write for each byte: printable ones as they are, all others from 256 on
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    written = {b: 256 + i for i, b in enumerate(others)}
+
+    def piece(x: str) -> bytes:
+        got = kept.get(x)
+        if got is None:
+            got = array("I", [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(written))]).tobytes()
+            if len(x) < 100:
+                kept[x] = got
+        return got
+
+    (line_end,) = (array("I", x.ids).tobytes() for x in own.encode_batch(["\n"], add_special_tokens=False))
 
-    def library(texts: list[str]) -> list[bytes]:
-        """Pieces without white space inside go in lines of one text, which is cheaper by the piece."""
-        joins = [i for i, x in enumerate(texts) if not more and not re.search(r"\s", x[1:]) and x[0] != "\n" and x != " " and (x[0] == " " or not x[0].isspace())]
+    def encode_many(texts: list[str]) -> list[bytes]:
+        kept.trim()
         out: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(joins), 2000):
-            some = joins[at : at + 2000]
-            ids = np.array(plain(["\n".join(texts[i] for i in some)])[0], "<u4")
-            for i, x in zip(some, np.split(ids, np.flatnonzero(ids == line_end)), strict=True):
-                out[i] = (x[1:] if i != some[0] else x).tobytes()
-        alone = sorted(set(range(len(texts))) - set(joins))
-        for i, x in zip(alone, plain([texts[i] for i in alone]), strict=True):
-            out[i] = np.array(x, "<u4").tobytes()
+        whole = []
+        for i, x in enumerate(texts):
+            m = _WORD.fullmatch(x) if by_pieces else None
+            if m and m[1].lstrip(" ").isalpha():
+                out[i] = piece(m[1]) + piece(m[2]) if m[2] else piece(m[1])
+            elif by_pieces and "\n" in x and not _BESIDE_LINE_END.search(x):  # a line end by itself is a piece
+                out[i] = line_end.join(encode_many(x.split("\n")))
+            else:
+                whole.append(i)
+        for i, x in zip(whole, own.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(x.ids, "<u4").tobytes()
         return out
 
-    def encode_many(texts: list[str]) -> list[bytes]:
-        if len(kept) > 400_000:
-            kept.clear()
-        parts = [m.groups() if (m := _WORD.fullmatch(x)) else (x,) for x in texts]
-        new = sorted({y for x in parts for y in x if y not in kept and len(y) < 100})
-        got = dict(zip(new, library(new), strict=True)) if new else {}
-        kept.update(got)
-        long = {y for x in parts for y in x if y not in kept}
-        got = dict(zip(long, (np.array(x, "<u4").tobytes() for x in plain(list(long))), strict=True)) if long else {}
-        return [b"".join(kept[y] if y in kept else got[y] for y in x) for x in parts]
-
     return ChunkCache(encode_many)
 
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +16,12 @@ from ..operators import evaluation as ev
 from ..operators import evidence as evi
 from ..operators import retrieval as ret
 from ..sources import tables
-from .dialect import Duck, Spark, plan
+from .dialect import Duck, Spark, plan, with_steps
 
 Plan = Callable[[Spark], str]
 PLANS: dict[str, Plan] = {}
+#: Steps that several later ones read: they are written once, to the folder that all executors share.
+SHARED = ("docs", "postings", "parts", "ranked", "placed", "episodes", "summed", "boosted", "memories", "found", "top8", "budget", "limits2", "ev", "metrics", "votes")
 TABLES = ("conversations", "benchmark", "documents", "labels", "events", "embeddings")
 
 
@@ -24,6 +30,13 @@ def named(f: Plan) -> Plan:
     return f
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{base.rstrip('/')}/palimpsest-steps/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The plan over the Parquet tables of a directory."""
     prefix = f"palimpsest_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}_"
@@ -31,7 +44,16 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in TABLES:
         if prefix + t in sql:
             spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(prefix + t)
-    return spark.sql(sql)
+    steps, used = dict(sql.steps), sql
+    for i, step in enumerate(steps):
+        later = " ".join([*list(steps.values())[i + 1 :], sql.final])
+        if step in SHARED and len(re.findall(rf"\b{step}\b", later)) > 1:
+            before = dict(list(steps.items())[: i + 1])
+            view = f"{prefix}{step}_{uuid.uuid4().hex[:8]}"
+            _written(spark.sql(with_steps(before, f"SELECT * FROM {step}")), view).createOrReplaceTempView(view)
+            steps[step] = f"SELECT * FROM {view}"
+            used = with_steps(steps, sql.final)
+    return spark.sql(used)
 
 
 def oracle(name: str) -> str:

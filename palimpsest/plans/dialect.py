@@ -204,9 +204,22 @@ class Duck(Spark):
         return f"range(0, {n})"
 
 
-def plan(*steps: tuple[str, str], final: str) -> str:
+class Text(str):
+    """A query's text that remembers its steps."""
+
+    steps: dict[str, str]
+    final: str
+
+
+def with_steps(steps: dict[str, str], final: str) -> str:
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in steps.items()) + f"\n{final}" if steps else final
+
+
+def plan(*steps: tuple[str, str], final: str) -> Text:
     """A WITH query of named steps; later definitions of a name are dropped."""
     seen: dict[str, str] = {}
     for name, sql in steps:
         seen.setdefault(name, sql)
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in seen.items()) + f"\n{final}" if seen else final
+    out = Text(with_steps(seen, final))
+    out.steps, out.final = seen, final
+    return out

@@ -9,9 +9,10 @@ the wanted similarity miss all bands, or have sketches beyond the margin, with a
 1e-6.
 
 Under keys of few nodes all pairs are candidates. Under the others nodes meet a few hubs of their key
-first, which joins most of a large group; then all nodes outside the key's largest component
-meet all nodes of the key in a join whose condition compares components and sketches, so that only
-the few pairs which need verification come out of it. No key is left out or cut short. Components are
+first, and round by round those outside the key's largest component meet a few more members of it,
+which joins most of a large group; then all nodes that are still outside meet all nodes of the key
+in a join whose condition compares components and sketches, so that only the few pairs which need
+verification come out of it. No key is left out or cut short. Components are
 found by passing on the smallest label, with doubling, on links between components only.
 
 Hashes of sets have 64 bits: among a billion different sets, two share one with a probability of 3 %.
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, small
 
-SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
+SAMPLES, BANDS, SKETCH_BITS = 256, 32, 1024
+#: Samples in a band's key; the bands take the first BANDS * ROWS samples.
+ROWS = 4
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Estimated similarities down to this much below the wanted one are verified: five standard deviations.
-MARGIN = 0.19
+#: Estimated similarities down to this much below the wanted one are verified: about five standard deviations.
+MARGIN = 0.13
 #: Keys with up to FEW nodes have all their pairs verified; hubs for the others, by round.
-FEW, HUBS, HUB_ROUNDS = 12, 2, 2
+FEW, HUBS, HUB_ROUNDS = 12, 2, 6
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(12).integers(0, 1 << 63, SAMPLES, np.uint64)
@@ -76,10 +79,10 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 4096):
         low = np.minimum(low, (s[i : i + 4096, None] * _A + _B).min(0))
-    rows = SAMPLES // BANDS
+    rows = ROWS
     key = np.arange(BANDS, dtype=np.uint64) * _C1
     for i in range(rows):
-        key = _mixed(key ^ low[i::rows])
+        key = _mixed(key ^ low[i : rows * BANDS : rows])
     bits = _mixed(low + np.arange(SAMPLES, dtype=np.uint64) * _C3) % np.uint64(SKETCH_BITS)
     odd = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return key.view(np.int64), np.packbits(odd).view(np.int64)
@@ -195,17 +198,22 @@ def components(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataF
     few = met.filter(f"m <= {FEW}").select("key", "node")
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
     many = met.filter(f"m > {FEW}").select("key", "node")
-    for turn in range(HUB_ROUNDS):
+    seeded = lambda turn: [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)), F.col("node"))).alias(f"h{i}") for i in range(HUBS)]
+    hubs = many.groupBy("key").agg(*seeded(0)).select("key", F.array(*(F.col(f"h{i}.node") for i in range(HUBS))).alias("hubs"))
+    linked(pairs.union(many.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b"))))
+    outside = None
+    for turn in range(1, HUB_ROUNDS + 1):
         left = many.join(labels, "node")
-        apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)), F.col("node"), F.col("comp"))).alias(f"h{i}") for i in range(HUBS))).filter("lo <> hi")
-        hubs = apart.select("key", F.array(*(F.struct(F.col(f"h{i}.node").alias("hub"), F.col(f"h{i}.comp").alias("of")) for i in range(HUBS))).alias("hubs"))
-        stars = left.join(hubs, "key").select("node", "comp", F.explode(F.filter("hubs", lambda h: h["of"] != F.col("comp"))).alias("h")).select(F.col("node").alias("a"), F.col("h.hub").alias("b"))
-        linked(pairs.union(stars) if turn == 0 else stars)
-    left = many.join(labels, "node")
-    sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    apart = sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("top.comp").alias("top"))
-    rest = materialize(left.join(apart, "key").join(ends.select("node", "n", "sketch"), "node"), "rest")
-    if not rest.isEmpty():
+        sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), *seeded(turn))
+        top = F.max(F.struct("k", "comp", *(f"h{i}" for i in range(HUBS)))).alias("top")
+        apart = sizes.groupBy("key").agg(top, F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("top.comp").alias("top"), F.array(*(F.col(f"top.h{i}.node") for i in range(HUBS))).alias("hubs"))
+        rest = materialize(left.join(apart, "key").join(ends.select("node", "n", "sketch"), "node"), "rest")
+        now = rest.filter("comp <> top").count()
+        if now == 0 or turn == HUB_ROUNDS or (outside is not None and now > 0.9 * outside):
+            break
+        outside = now
+        linked(rest.filter("comp <> top").select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
+    if now:
         out, all_ = rest.filter("comp <> top").alias("x"), rest.alias("y")
         linked(out.join(all_, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sketched=True)
     least = labels.join(ends.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id"))

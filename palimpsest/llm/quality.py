@@ -195,8 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, fold
     return fit_texts([t for _, t in rows], [some[d] for d, _ in rows])
 
 
+def _free(docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    name = "__score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a last column score."""
+    """docs with a last column: the score."""
+    name = _free(docs)
     at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +214,11 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 got = own.scores([x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()], shapes)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.astype(float), pa.float64())], [*part.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.astype(float), pa.float64())], [*part.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return map_arrow(docs, run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:
@@ -220,4 +229,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: in
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least the threshold, with their columns as they are."""
-    return _scored(docs, model).filter(F.col("__score") >= threshold).drop("__score")
+    name = _free(docs)
+    return _scored(docs, model).filter(F.col(name) >= threshold).drop(name)

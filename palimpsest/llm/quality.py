@@ -142,21 +142,26 @@ def _word_vectors(docs: list[tuple[Counter, Counter, list[bytes]]], texts: list[
         at, sign = index_vector(w)
         index[i, at] = sign
     scaled = index / np.sqrt(np.array([max(total[w], 1) for w in words], np.float32))[:, None]
-    n, near = len(words), []
-    for text, (_, _, rest) in zip(texts, docs, strict=True):
+    n = len(words)
+
+    def neighbours(text: bytes, rest: list[bytes]) -> Iterator[np.ndarray]:
         own = text.split()
         for stream in ([places.get(w, -1) for w in own], [places.get(shapes[w], -1) for w in own]):
             ids = np.array(stream, np.int64)
             for k in (1, 2):
                 both = (ids[k:] >= 0) & (ids[:-k] >= 0)
-                near += [ids[k:][both] * n + ids[:-k][both], ids[:-k][both] * n + ids[k:][both]]
+                yield ids[k:][both] * n + ids[:-k][both]
+                yield ids[:-k][both] * n + ids[k:][both]
         ids = np.array([places[w] for w in rest if w in places], np.int64)
-        near.append((ids[:, None] * n + ids).ravel())
-    pairs, met = np.unique(np.concatenate([np.zeros(0, np.int64), *near]), return_counts=True)
-    for at in range(0, len(pairs), 100_000):
-        a, b = pairs[at : at + 100_000] // n, pairs[at : at + 100_000] % n
-        first = np.flatnonzero(np.diff(a, prepend=-1))
-        vectors[a[first]] += np.add.reduceat(scaled[b] * met[at : at + 100_000, None].astype(np.float32), first)
+        yield (ids[:, None] * n + ids).ravel()
+
+    for i in range(0, len(texts), 50):  # few documents at a time: the driver's memory stays small
+        near = [x for text, (_, _, rest) in zip(texts[i : i + 50], docs[i : i + 50], strict=True) for x in neighbours(text, rest)]
+        pairs, met = np.unique(np.concatenate(near), return_counts=True)
+        for at in range(0, len(pairs), 20_000):
+            a, b = pairs[at : at + 20_000] // n, pairs[at : at + 20_000] % n
+            first = np.flatnonzero(np.diff(a, prepend=-1))
+            vectors[a[first]] += np.add.reduceat(scaled[b] * met[at : at + 20_000, None].astype(np.float32), first) if len(a) else 0
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return places, vectors / np.maximum(norm, 1e-6) + 0.5 * index
 

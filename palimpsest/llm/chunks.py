@@ -7,18 +7,8 @@ Most chunks recur: their ids are kept, in a cache of bounded size, as little-end
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-#: A space beside other white space: only the split pattern itself can cut such texts.
-_UNSAFE = re.compile(r"\s | \s")
-
-
-def chunks(text: str) -> list[str] | None:
-    """The text's chunks, all but the first without the space in front; None if cuts aren't safe."""
-    return None if _UNSAFE.search(text) else text.split(" ")
-
-
 class Kept:
     """Values by key in two generations: when the young one is full, it becomes the old one, and only what is asked for again moves on."""
 
@@ -55,17 +45,18 @@ class ChunkCache:
             if not text:
                 out.append(b"")
                 continue
-            parts = chunks(text)
-            if parts is None:
-                out.append(self.encode_many([text])[0])
-                continue
-            first, rest = parts[0], parts[1:]
+            first, *rest = text.split(" ")
             self.kept.trim()
             young = self.kept.young
-            got = list(map(young.get, rest))
-            if None in got:
-                missing = [x for x in {x for x, y in zip(rest, got, strict=True) if y is None} if self.kept.get(x) is None]
+            missing = set(rest).difference(young)
+            if missing:
+                missing = [x for x in missing if self.kept.get(x) is None]
+                # a space beside other white space (kept chunks have none at their ends): only the split pattern itself can cut
+                unsafe = any(not x or x[0].isspace() or x[-1].isspace() for x in missing)
+            if (missing and unsafe) or (first and rest and first[-1].isspace()):
+                out.append(self.encode_many([text])[0])
+                continue
+            if missing:
                 young.update(zip(missing, self.encode_many([" " + x for x in missing]), strict=True))
-                got = map(young.__getitem__, rest)
-            out.append((self.encode_many([first])[0] if first else b"") + b"".join(got))
+            out.append((self.encode_many([first])[0] if first else b"") + b"".join(map(young.__getitem__, rest)))
         return out

@@ -55,7 +55,7 @@ def tokenizer(path: str) -> ChunkCache:
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    model, kept = own.model, Kept(700_000)
+    model, kept = own.model, Kept(900_000)
     by_pieces = own.normalizer is None and isinstance(own.pre_tokenizer, pre_tokenizers.ByteLevel) and not own.pre_tokenizer.add_prefix_space
     # what byte-level vocabularies write for each byte: printable ones as they are, all others from 256 on
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -74,12 +74,15 @@ def tokenizer(path: str) -> ChunkCache:
 
     def encode_many(texts: list[str]) -> list[bytes]:
         kept.trim()
+        young = kept.young
         out: list[bytes] = [b""] * len(texts)
         whole = []
         for i, x in enumerate(texts):
             m = _WORD.fullmatch(x) if by_pieces else None
             if m and m[1].lstrip(" ").isalpha():
-                out[i] = piece(m[1]) + piece(m[2]) if m[2] else piece(m[1])
+                word, signs = m.groups()
+                got = young.get(word) or piece(word)
+                out[i] = got + (young.get(signs) or piece(signs)) if signs else got
             elif by_pieces and "\n" in x and not _BESIDE_LINE_END.search(x):  # a line end by itself is a piece
                 out[i] = line_end.join(encode_many(x.split("\n")))
             else:
@@ -88,7 +91,7 @@ def tokenizer(path: str) -> ChunkCache:
             out[i] = np.array(x.ids, "<u4").tobytes()
         return out
 
-    return ChunkCache(encode_many)
+    return ChunkCache(encode_many, 600_000)
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -138,12 +141,14 @@ class Code:
         wide = self.lengths[ids].astype(np.int64)
         at = np.cumsum(wide) - wide
         n = int(wide.sum())
-        value = self.codes[ids].astype(np.int64) << (24 - wide - (at & 7))
-        out = np.zeros(n // 8 + 4, np.uint8)
-        for i, shift in enumerate((16, 8, 0)):  # codes don't overlap: adding their bytes joins them
-            got = np.bincount((at >> 3) + i, weights=((value >> shift) & 255), minlength=len(out))
-            out += got[: len(out)].astype(np.uint8)
-        return out.tobytes(), at[::BLOCK].astype(np.uint32)
+        value = self.codes[ids].astype(np.int64) << (64 - 16 - wide - (at & 31))  # in the 48 bits from the code's word on
+        word = at >> 5
+        out = np.zeros(n // 32 + 2, np.int64)
+        if len(ids):  # codes don't overlap: adding joins them
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[first]] += np.add.reduceat(value >> 16, first)
+            out[word[first] + 1] += np.add.reduceat(value & 0xFFFF, first) << 16
+        return out.astype(">u4").tobytes()[: n // 8 + 4], at[::BLOCK].astype(np.uint32)
 
     def decode(self, bits: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """All blocks side by side, one id of each at a time."""

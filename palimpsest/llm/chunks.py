@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+
 class Kept:
     """Values by key in two generations: when the young one is full, it becomes the old one, and only what is asked for again moves on."""
 
@@ -50,7 +51,8 @@ class ChunkCache:
             young = self.kept.young
             missing = set(rest).difference(young)
             if missing:
-                missing = [x for x in missing if self.kept.get(x) is None]
+                if self.kept.old:
+                    missing = [x for x in missing if self.kept.get(x) is None]
                 # a space beside other white space (kept chunks have none at their ends): only the split pattern itself can cut
                 unsafe = any(not x or x[0].isspace() or x[-1].isspace() for x in missing)
             if (missing and unsafe) or (first and rest and first[-1].isspace()):

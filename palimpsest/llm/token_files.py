@@ -62,12 +62,17 @@ def tokenizer(path: str) -> ChunkCache:
     others = [b for b in range(256) if b not in plain]
     written = {b: 256 + i for i, b in enumerate(others)}
 
-    def piece(x: str) -> bytes:
-        got = kept.get(x)
+    tokenize, space = model.tokenize, chr(written[ord(" ")])
+
+    def piece(x: str, letters: bool) -> bytes:
+        """The ids of a piece that the young generation doesn't have."""
+        got = kept.old.get(x)
         if got is None:
-            got = array("I", [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(written))]).tobytes()
-            if len(x) < 100:
-                kept[x] = got
+            # among ASCII letters only the space in front is written as another character
+            spelt = x.replace(" ", space) if letters and x.isascii() else x.encode().decode("latin-1").translate(written)
+            got = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+        if len(x) < 100:
+            kept.young[x] = got
         return got
 
     (line_end,) = (array("I", x.ids).tobytes() for x in own.encode_batch(["\n"], add_special_tokens=False))
@@ -79,10 +84,10 @@ def tokenizer(path: str) -> ChunkCache:
         whole = []
         for i, x in enumerate(texts):
             m = _WORD.fullmatch(x) if by_pieces else None
-            if m and m[1].lstrip(" ").isalpha():
+            if m and (x.isascii() or m[1].lstrip(" ").isalpha()):
                 word, signs = m.groups()
-                got = young.get(word) or piece(word)
-                out[i] = got + (young.get(signs) or piece(signs)) if signs else got
+                got = young.get(word) or piece(word, True)
+                out[i] = got + (young.get(signs) or piece(signs, False)) if signs else got
             elif by_pieces and "\n" in x and not _BESIDE_LINE_END.search(x):  # a line end by itself is a piece
                 out[i] = line_end.join(encode_many(x.split("\n")))
             else:

@@ -171,7 +171,6 @@ def fit_texts(texts: list[bytes], labels: list[int]) -> Model:
     prior = float(y.mean()) if len(y) else 0.5
     if len(set(labels)) < 2:
         return Model({}, np.zeros((0, WIDTH), np.float32), None, 1.0, prior)
-    texts = [t[: 1 << 20] for t in texts]
     places, vectors = _word_vectors([features(t, shapes) for t in texts], texts, shapes)
     model = Model(places, vectors, None, 1.0, prior)
     x = np.stack([model.pooled(t, shapes) for t in texts])

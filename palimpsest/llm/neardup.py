@@ -6,7 +6,7 @@ meet, and an odd sketch: a bitmap in which every sample flips one bit. The bits
 sketches differ estimate the similarity of their nodes, precisely where it is high; pairs that are
 clearly too different go no further, and all others are verified on their full sets. Pairs of exactly
 the wanted similarity miss all bands, or have sketches beyond the margin, with a probability of about
-1e-6.
+3e-6.
 
 Under keys of few nodes all pairs are candidates. Under the others nodes meet a few hubs of their key
 first, and round by round those outside the key's largest component meet a few more members of it,
@@ -40,7 +40,7 @@ SAMPLES, BANDS, SKETCH_BITS = 256, 32, 1024
 ROWS = 4
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Estimated similarities down to this much below the wanted one are verified: about five standard deviations.
+#: Estimated similarities down to this much below the wanted one are verified: beyond it 3 of 1,000,000 simulated pairs fall.
 MARGIN = 0.13
 #: Keys with up to FEW nodes have all their pairs verified; hubs for the others, by round.
 FEW, HUBS, HUB_ROUNDS = 12, 2, 6

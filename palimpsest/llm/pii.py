@@ -157,7 +157,7 @@ class Graph:
             last = m.start(), m.end(), own
             key = alike(token)
             if key is not None:
-                if key in seen and seen[key] != n - 1:
+                if key in seen and self.chain[-1:] != [(seen[key], n)]:
                     self.skip.append((seen[key], n))
                 seen[key] = n
 

@@ -70,6 +70,19 @@ def test_repeated_number_is_found_again():
     assert len(base) == 1 and len(all_) > 1 and set(base) <= set(all_)
 
 
+def test_mentions_with_plain_words_between_are_linked():
+    graph, text = pii.Graph(), "call +1 (743) 555-3824 now or later at 7435553824"
+    graph.add(0, text)
+    assert graph.skip == [(2, 3)] and (2, 3) not in graph.chain
+    field, phone = pii.Field.fit([]), pii.LABELS.index("phone")
+    linked = field.marginals(graph)[3, phone]
+    graph.skip = []
+    assert linked > 2 * field.marginals(graph)[3, phone]
+    side = pii.Graph()
+    side.add(0, "7435553824 7435553824")
+    assert side.chain == [(0, 1)] and not side.skip
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, width):
     r = random.Random(width)

@@ -1,16 +1,18 @@
-"""Language-model scores by deleted interpolation.
-
-Counts of all words come from every training document. The CLASSES most frequent words are classes
-of their own and all others one more class; the probability of a token is that of its class after
-the class before it, times that of the word in its class. Maximum-likelihood estimates of the
-class after its context, of the class by itself and a uniform one are mixed with weights by the
-bucket of the context's frequency (powers of two). The weights are learned by expectation-
-maximisation on the counts of a held-out part of the training documents, with estimates from
-the other part; the scores then use the estimates from both.
-
-The frequent words (at most FREQUENT) and the class pairs are tables of bounded size and are sent to
-all tasks. The rarer words of the documents, none of which has over 1 / FREQUENT of all tokens, are
-joined with the table of counts; only logarithms of counts come back, summed by document.
+"""Language-model scores by deleted interpolation of word bigrams.
+
+Counts of all words and of all word pairs come from every training document. The probability of a
+token mixes maximum-likelihood estimates of the word after the word before it (the start of a
+document stands for the word before its first token), of the word by itself and a uniform one,
+with weights by the bucket of the context's frequency (powers of two). The weights are learned by
+expectation-maximisation on a held-out part of the training documents, with estimates from the
+other part; the scores then use the estimates from both. For learning, tokens whose estimates are
+within an eighth of a power of two of each other are put together, with their means.
+
+Only the FREQUENT most frequent words are sent to all tasks, as numbers. Pairs of the DENSE most
+frequent ones are counted in a table of that size; any other pair has less than 1 / DENSE of all
+tokens. Those of two frequent words go as arrays to the bucket of their number, which counts them
+and keeps their documents; those with a rarer word meet the table of counts and each other in
+joins on that word. What comes back is summed by document.
 
 Defined results: null text is empty: only the end token is scored. Documents without an id count as
 held out. Without training documents all counts are 0. Repeated rows count and are scored each.
@@ -25,13 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
 
 FOLDS, TUNING_FOLD, ADD = 10, 1, 0.1
-CLASSES, FREQUENT, BUCKETS, ROUNDS = 1024, 65_536, 40, 30
+DENSE, FREQUENT, BUCKETS, ROUNDS = 1024, 65_536, 40, 30
+#: Tokens of the training documents for each bucket of pairs, and tokens that a task holds before it passes them on.
+BUCKET_TOKENS, HELD_TOKENS = 1_000_000, 1_000_000
+HELD_OUT, FIT, TUNE = 0, 1, 2
 #: Distinct words that a task counts before it passes them on.
 MOST_KEPT = 300_000
 #: The end token; words are never empty.
@@ -43,174 +48,301 @@ def fold(doc_id: object) -> int:
     return zlib.crc32(str(doc_id).encode()) % FOLDS if doc_id is not None else 0
 
 
+def part(doc_id: object) -> int:
+    f = fold(doc_id)
+    return HELD_OUT if not f else TUNE if f == TUNING_FOLD else FIT
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return [w if len(w) <= 64 else b"\0" + hashlib.sha256(w).digest() for w in (text or b"").translate(_LOWER).split()]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Rows (word, n) of the training documents, the end token included."""
+    """Rows (word, n, tune) of the training documents, the end token included; tune is the tuning part's share of n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, tune = Counter(), Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            counts = [pa.array(list(total.values()), pa.int64()), pa.array([tune[w] for w in total], pa.int64())]
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), *counts], ["word", "n", "tune"])
             total.clear()
+            tune.clear()
             return out
 
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if fold(d):
-                    total.update(words_of(text.as_py()))
-                    total[END] += 1
+                if p := part(d):
+                    listed = [*words_of(text.as_py()), END]
+                    total.update(listed)
+                    if p == TUNE:
+                        tune.update(listed)
                     if len(total) > MOST_KEPT:
                         yield flush()
         if total:
             yield flush()
 
-    return map_arrow(docs.select("doc_id", "text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_arrow(docs.select("doc_id", "text"), run, "word binary, n long, tune long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("tune").alias("tune"))
 
 
 class Words:
-    """The frequent words' places in the order of their counts; the end token is the first."""
-
-    def __init__(self, rows: list[tuple[bytes, int]], tokens: int, distinct: int, classes: int):
-        self.tokens, self.distinct = tokens, distinct
-        rows = [(END, dict(rows).get(END, 0)), *(r for r in rows if r[0] != END)]
-        self.place = {w: i for i, (w, _) in enumerate(rows)}
-        self.count = np.array([n for _, n in rows], np.int64)
-        self.classes = min(classes, len(rows))  # of single words; the next number is all others', the one after it the start
-        self.other_tokens = tokens - int(self.count[: self.classes].sum())
-        self.other_distinct = max(0, distinct - int((self.count[: self.classes] > 0).sum()))
+    """The frequent words' places in the order of their counts; the end token is the first, and as a context the start."""
+
+    def __init__(self, rows: list[tuple[bytes, int, int]], tokens: int, tune_tokens: int, distinct: int, dense: int):
+        self.tokens, self.fit_tokens, self.distinct = tokens, tokens - tune_tokens, distinct
+        end = next((r for r in rows if r[0] == END), (END, 0, 0))
+        rows = [end, *(r for r in rows if r[0] != END)][:FREQUENT]
+        self.place = {w: i for i, (w, _, _) in enumerate(rows)}
+        self.count, self.tune = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.dense = min(dense, len(rows))
+        self.buckets = 1 + tokens // BUCKET_TOKENS
+        self.log_base = float(np.log10(tokens + ADD * (distinct + 1)))
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        got = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
-        return np.append(got, 0)
+        """Of the words and the end token; -1 for rarer words."""
+        return np.append(np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words)), 0)
 
-    def pairs(self, places: np.ndarray) -> np.ndarray:
-        """context class * (classes + 1) + class, for each token."""
-        own = np.where((places < 0) | (places >= self.classes), self.classes, places)
-        return np.concatenate([[self.classes + 1], own[:-1]]) * (self.classes + 1) + own
 
-    @property
-    def size(self) -> int:
-        return (self.classes + 2) * (self.classes + 1)
+#: A row is a document, a pair with a rarer word (side: which words of it are rare) or an array of pairs.
+FIRST, SECOND, BOTH = 0, 1, 2
+_COLUMNS = (("row", pa.int64()), ("doc_id", None), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("dense", pa.binary()), ("side", pa.int32()), ("word", pa.binary()), ("context", pa.binary()), ("other", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("pairs", pa.binary()), ("rows", pa.binary()))
 
 
-def pair_counts(docs: DataFrame, sent) -> DataFrame:
-    """Rows (pair, fit, tune): class pairs in both parts of the training documents."""
+def tokens(docs: DataFrame, sent) -> DataFrame:
+    """All tokens of all documents after their contexts. The last two bits of a row's number are the document's part."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words: Words = sent.value
-        total = np.zeros((2, words.size), np.int64)
+        log_count, at = np.log10(words.count + ADD), TaskContext.get().partitionId() << 36
+        held, n_held = [], 0
+
+        def rows(id_type, **columns):
+            n = len(columns["row"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[k], t or id_type) if k in columns else pa.nulls(n, t or id_type) for k, t in _COLUMNS], [k for k, _ in _COLUMNS])
+
+        def flush(id_type):
+            pairs, owner = np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), r, np.int64) for x, r in held])
+            bucket = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(words.buckets)
+            order = np.lexsort((pairs, bucket))
+            pairs, owner, bucket, first = pairs[order], owner[order], bucket[order], int(owner.min())
+            owner = (owner - first).astype("<u8")
+            which, start = np.unique(bucket, return_index=True)
+            stop = [*start[1:], len(pairs)]
+            held.clear()
+            return rows(id_type, row=[first] * len(which), bucket=which.astype(np.int32), pairs=[pairs[i:j].tobytes() for i, j in zip(start, stop, strict=True)], rows=[owner[i:j].tobytes() for i, j in zip(start, stop, strict=True)])
+
         for batch in batches:
-            held: tuple[list, list] = ([], [])
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if f := fold(d):
-                    held[f == TUNING_FOLD].append(words.pairs(words.places(words_of(text.as_py()))))
-            for i, x in enumerate(held):
-                if x:
-                    total[i] += np.bincount(np.concatenate(x), minlength=words.size)
-        used = np.flatnonzero(total.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["pair", "fit", "tune"])
+            ids, out, rare = batch.column(0), [], []
+            for d, text in zip(ids.to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                listed, row = words_of(text.as_py()), at << 2 | part(d)
+                own = words.places(listed)
+                before = np.append(0, own[:-1])
+                known = own[own >= 0]
+                dense = (own >= 0) & (own < words.dense) & (before >= 0) & (before < words.dense)
+                frequent = (own >= 0) & (before >= 0) & ~dense
+                out.append((row, len(own), int((words.count[known] > 0).sum()), float(log_count[known].sum()) - len(own) * words.log_base, (before[dense] * words.dense + own[dense]).astype("<u4").tobytes()))
+                held.append(((before[frequent] << 16 | own[frequent]).astype("<u4"), row))
+                n_held += len(held[-1][0])
+                pairs = Counter()
+                for i in np.flatnonzero((own < 0) | (before < 0)).tolist():
+                    w, h = int(own[i]), int(before[i])
+                    if w >= 0:
+                        pairs[FIRST, listed[i - 1], None, w] += 1
+                    elif h >= 0:
+                        pairs[SECOND, listed[i], None, h] += 1
+                    else:
+                        pairs[BOTH, listed[i], listed[i - 1], None] += 1
+                rare += [(row, *k, n) for k, n in pairs.items()]
+                at += 1
+            columns = list(zip(*out, strict=True))
+            if out:
+                yield rows(ids.type, doc_id=ids, **dict(zip(("row", "n_tokens", "n_known", "base", "dense"), columns, strict=True)))
+            if rare:
+                yield rows(ids.type, **dict(zip(("row", "side", "word", "context", "other", "n"), zip(*rare, strict=True), strict=True)))
+            if n_held > HELD_TOKENS:
+                yield flush(ids.type)
+                n_held = 0
+        if n_held:
+            yield flush(ids.type)
+
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, dense binary, side int, word binary, context binary, other int, n int, bucket int, pairs binary, rows binary"
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
+
+
+def rare_pairs(both: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """Rows (row, side, n) of pairs with a rarer word, with the counts of context (h), word (w) and pair (hw), in all and in the tuning part."""
+    spark = both.sparkSession
+    rows = both.filter("side IS NOT NULL").select("row", "side", "word", "context", "other", "n")
+    places = pa.table({"other": pa.array(range(len(words.count)), pa.int32()), "o": words.count, "o_tune": words.tune})
+    listed = F.broadcast(spark.createDataFrame(places.to_pandas(), "other int, o long, o_tune long"))
+    seen = counts.select("word", F.col("n").alias("c"), F.col("tune").alias("c_tune"))
+    met = rows.join(seen, "word", "left")
+
+    def pair(df: DataFrame, *by: str) -> DataFrame:
+        group, training = Window.partitionBy(*by), F.col("row").bitwiseAND(3)
+        return df.withColumn("hw", F.sum(F.when(training > 0, F.col("n")).otherwise(0)).over(group)).withColumn("hw_tune", F.sum(F.when(training == TUNE, F.col("n")).otherwise(0)).over(group))
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    one = pair(met.filter(F.col("side") != BOTH), "word", "side", "other").join(listed, "other")
+    first = F.col("side") == FIRST
+    pick = lambda yes, no, name: F.when(first, zero(yes)).otherwise(zero(no)).alias(name)
+    one = one.select("row", "side", "n", pick("c", "o", "h"), pick("c_tune", "o_tune", "h_tune"), pick("o", "c", "w"), pick("o_tune", "c_tune", "w_tune"), "hw", "hw_tune")
+    before = counts.select(F.col("word").alias("context"), F.col("n").alias("h"), F.col("tune").alias("h_tune"))
+    two = pair(met.filter(F.col("side") == BOTH).join(before, "context", "left"), "context", "word")
+    two = two.select("row", "side", "n", zero("h").alias("h"), zero("h_tune").alias("h_tune"), zero("c").alias("w"), zero("c_tune").alias("w_tune"), "hw", "hw_tune")
+    return materialize(one.unionByName(two), "rare")
+
+
+def frequent_pairs(both: DataFrame) -> DataFrame:
+    """A row for each bucket: its pairs, how often each comes in training documents, in the tuning part and in all, and whose each one is."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group["pairs"]])
+        row = np.concatenate([np.frombuffer(x.as_py(), "<u8").astype(np.int64) + r for x, r in zip(group["rows"], group["row"].to_pylist(), strict=True)])
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        own, start, times = np.unique(key, return_index=True, return_counts=True)
+        hw, tune = (np.add.reduceat(x.astype(np.int64), start) for x in (row & 3 > 0, row & 3 == TUNE))
+        return pa.table({"pairs": [own.tobytes()], "hw": [hw.tobytes()], "hw_tune": [tune.tobytes()], "times": [times.tobytes()], "rows": [row.tobytes()]}, pa.schema([(k, pa.binary()) for k in ("pairs", "hw", "hw_tune", "times", "rows")]))
+
+    got = both.filter("bucket IS NOT NULL").select("bucket", "row", "pairs", "rows")
+    return materialize(got.groupBy("bucket").applyInArrow(run, "pairs binary, hw binary, hw_tune binary, times binary, rows binary"), "pairs")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for r in range(batch.num_rows):
+        pairs = np.frombuffer(batch.column(0)[r].as_py(), "<u4").astype(np.int64)
+        yield (pairs >> 16, pairs & 0xFFFF, *(np.frombuffer(batch.column(k)[r].as_py(), np.int64) for k in range(1, 5)))
+
+
+def dense_counts(both: DataFrame, size: int) -> np.ndarray:
+    """How often each pair of the most frequent words comes in all training documents and in the tuning part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for row, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if row & 3:
+                    got = np.frombuffer(codes.as_py(), "<u4")
+                    np.add.at(total[0], got, 1)
+                    if row & 3 == TUNE:
+                        np.add.at(total[1], got, 1)
+        used = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["pair", "hw", "hw_tune"])
+
+    counted = map_arrow(both.filter("n_tokens IS NOT NULL").select("row", "dense"), run, "pair long, hw long, hw_tune long")
+    got = counted.groupBy("pair").agg(F.sum("hw").alias("hw"), F.sum("hw_tune").alias("hw_tune")).toPandas()
+    out = np.zeros((2, size), np.int64)
+    out[:, got["pair"].to_numpy(np.int64)] = got[["hw", "hw_tune"]].to_numpy(np.int64).T
+    return out
+
 
-    return map_arrow(docs.select("doc_id", "text"), run, "pair long, fit long, tune long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("tune").alias("tune"))
+def _estimates(h: np.ndarray, w: np.ndarray, hw: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the context, P(word | context) and P(word)."""
+    return np.minimum(np.log2(h + 1).astype(int), BUCKETS - 1), hw / np.maximum(h, 1), w / max(tokens, 1)
 
 
-def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context totals, P(class | context) and P(class), from counts by context and class."""
-    context = counts.sum(1)
-    return context, counts / np.maximum(context, 1)[:, None], counts.sum(0) / max(counts.sum(), 1)
+_CELL = "bucket int, q2 int, q1 int, n double, p2 double, p1 double"
 
 
-def _buckets(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(np.log2(context + 1)).astype(int), BUCKETS - 1)
+def cells(n: np.ndarray, h: np.ndarray, w: np.ndarray, hw: np.ndarray, tokens: int) -> pa.RecordBatch:
+    """Tokens of the tuning part put together by context bucket and estimates: how many, and sums of the estimates."""
+    bucket, p2, p1 = _estimates(h, w, hw, tokens)
+    q2, q1 = (np.where(p > 0, np.floor(8 * np.log2(np.maximum(p, 1e-30))), 1).astype(np.int64) for p in (p2, p1))
+    code, at = np.unique((bucket * 1024 + q2 + 900) * 1024 + q1 + 900, return_inverse=True)
+    sums = [pa.array(np.bincount(at, x, len(code)), pa.float64()) for x in (n, n * p2, n * p1)]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in (code >> 20, (code >> 10 & 1023) - 900, (code & 1023) - 900)), *sums], [x.split()[0] for x in _CELL.split(", ")])
 
 
-def mixture(fit: np.ndarray, tune: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of pair, class and uniform estimates for each bucket of contexts."""
-    context, pair, single = _estimates(fit)
-    bucket, weights = _buckets(context), np.full((BUCKETS, 3), 1 / 3)
-    h, c = np.nonzero(tune)
-    n, b = tune[h, c], bucket[h]
-    parts = np.stack([pair[h, c], single[c], np.full(len(h), 1 / fit.shape[1])], 1)
+def mixture(got: np.ndarray, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of pair, word and uniform estimates for each bucket of contexts, from rows (bucket, n, p2, p1) of cells."""
+    b, n, weights = got[:, 0].astype(int), got[:, 1], np.full((BUCKETS, 3), 1 / 3)
+    parts = np.stack([got[:, 2] / n, got[:, 3] / n, np.full(len(n), uniform)], 1)
     for _ in range(rounds):
         share = weights[b] * parts
         share *= (n / share.sum(1))[:, None]
-        mass = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], 1) + np.array([1e-3, 1e-3, 1e-3])
+        mass = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], 1) + 1e-3
         weights = mass / mass.sum(1, keepdims=True)
     return weights
 
 
 class Model:
-    """log10 of class probabilities for each pair, and what scores of words in the last class need."""
+    """Weights, and log10 of probabilities from counts."""
 
-    def __init__(self, words: Words, pairs: np.ndarray):
-        shape = (words.classes + 2, words.classes + 1)
-        fit, tune = (x.reshape(shape).astype(float) for x in pairs)
-        self.weights = mixture(fit, tune)
-        context, pair, single = _estimates(fit + tune)
-        w = self.weights[_buckets(context)]
-        self.log = np.log10(w[:, :1] * pair + w[:, 1:2] * single + w[:, 2:] / shape[1]).ravel()
-        self.log_base = float(np.log10(words.tokens + ADD * (words.distinct + 1)))
-        self.log_other = float(np.log10(words.other_tokens + ADD * (words.other_distinct + 1)))
+    def __init__(self, words: Words, weights: np.ndarray):
+        self.weights, self.tokens, self.uniform = weights, words.tokens, 1 / (words.distinct + 1)
 
+    def log(self, h: np.ndarray, w: np.ndarray, hw: np.ndarray) -> np.ndarray:
+        bucket, p2, p1 = _estimates(h, w, hw, self.tokens)
+        x = self.weights[bucket]
+        return np.log10(x[:, 0] * p2 + x[:, 1] * p1 + x[:, 2] * self.uniform)
 
-def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[DataFrame, Words, Model]:
-    counts = materialize(word_counts(docs), "words")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(r[0]), int(r[1])) for r in counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
-    words = Words(top, int(tokens), int(distinct), classes)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    got = pair_counts(docs, sent).toPandas()  # as many rows as there are pairs of classes at most
-    pairs = np.zeros((2, words.size), np.int64)
-    pairs[:, got["pair"].to_numpy(np.int64)] = got[["fit", "tune"]].to_numpy(np.int64).T
-    return counts, words, Model(words, pairs)
 
+def learn(words: Words, sent, dense: np.ndarray, rare: DataFrame, frequent: DataFrame) -> Model:
+    fit_tokens = words.fit_tokens
+
+    def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = sent.value.count - sent.value.tune
+        for batch in batches:
+            for h, w, hw, tune, _, _ in _unpacked(batch):
+                k = tune > 0
+                yield cells(tune[k], fit[h[k]], fit[w[k]], (hw - tune)[k], fit_tokens)
+
+    def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield cells(*(x.to_numpy(zero_copy_only=False) for x in batch.columns), fit_tokens)
+
+    tuned = rare.filter(F.col("row").bitwiseAND(3) == TUNE).selectExpr("n", "h - h_tune AS h", "w - w_tune AS w", "hw - hw_tune AS hw")
+    rows = map_arrow(frequent, of_frequent, _CELL).unionByName(map_arrow(tuned, of_rare, _CELL)).groupBy("bucket", "q2", "q1").agg(F.sum("n"), F.sum("p2"), F.sum("p1"))
+    fit, used = words.count - words.tune, np.flatnonzero(dense[1])
+    own = cells(dense[1][used], fit[used // words.dense], fit[used % words.dense], (dense[0] - dense[1])[used], fit_tokens)
+    both = [np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 6), np.array([c.to_numpy() for c in own.columns], float).T]
+    return Model(words, mixture(np.concatenate(both)[:, [0, 3, 4, 5]], 1 / (words.distinct + 1)))
 
-def score(docs: DataFrame, model: tuple[DataFrame, Words, Model] | None = None) -> DataFrame:
+
+def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    counts, words, own = model or fit(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((words, own))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    counts = materialize(word_counts(docs), "words")
+    n_tokens, n_tune, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tune"), F.lit(0)), F.count(F.lit(1))).first()
+    top = [(bytes(r[0]), int(r[1]), int(r[2])) for r in counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
+    words, context = Words(top, int(n_tokens), int(n_tune), int(distinct), DENSE), docs.sparkSession.sparkContext
+    sent = context.broadcast(words)
+    both = materialize(tokens(docs, sent), "tokens")
+    rare, frequent, dense = rare_pairs(both, counts, words), frequent_pairs(both), dense_counts(both, words.dense**2)
+    own = learn(words, sent, dense, rare, frequent)
+    every = np.arange(words.dense**2)
+    logs = context.broadcast(own.log(words.count[every // words.dense], words.count[every % words.dense], dense[0]))
+
+    def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = sent.value.count
+        for batch in batches:
+            for h, w, hw, _, times, rows in _unpacked(batch):
+                which, at = np.unique(rows, return_inverse=True)
+                sums = np.bincount(at, np.repeat(own.log(count[h], count[w], hw), times), len(which))
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(sums), pa.array(np.zeros(len(which))), pa.array(np.zeros(len(which), np.int64))], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, then rows (row, word, n) of its rarer words."""
-        words, own = sent.value
-        log_count = np.log10(words.count + ADD)
-        from pyspark import TaskContext
+    def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, side, n, h, w, hw = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            second = n * (side != FIRST)
+            which, at = np.unique(row, return_inverse=True)
+            sums = [np.bincount(at, x, len(which)) for x in (n * own.log(h, w, hw), second * np.log10(w + ADD), second * (w > 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names)
 
-        row = TaskContext.get().partitionId() << 36
+    def of_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, n_tokens, n_known, base, score = batch.column(0), [], [], [], [], []
-            rare_row, rare_word, rare_n = [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                listed = words_of(text.as_py())
-                places = words.places(listed)
-                known, in_last = places[places >= 0], places[places >= words.classes]
-                unknown = Counter(w for w, p in zip(listed, places.tolist(), strict=False) if p < 0)
-                n_rare = len(places) - len(known)
-                rows.append(row)
-                n_tokens.append(len(places))
-                n_known.append(int((words.count[known] > 0).sum()))
-                base.append(float(log_count[known].sum()) - len(places) * own.log_base)
-                score.append(float(own.log[words.pairs(places)].sum() + log_count[in_last].sum()) - (len(in_last) + n_rare) * own.log_other)
-                rare_row += [row] * len(unknown)
-                rare_word += unknown.keys()
-                rare_n += unknown.values()
-                row += 1
-            none = pa.nulls(len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, pa.nulls(len(rows), pa.int32()), ids, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names)
-            if rare_row:
-                k = len(rare_row)
-                yield pa.RecordBatch.from_arrays([pa.array(rare_row, pa.int64()), pa.array(rare_word, pa.binary()), pa.array(rare_n, pa.int32()), pa.nulls(k, ids.type), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
-
-    names = ["row", "word", "n", "doc_id", "n_tokens", "n_known", "base", "score"]
-    both = materialize(map_arrow(docs.select("doc_id", "text"), run, f"row long, word binary, n int, doc_id {kind}, n_tokens long, n_known long, base double, score double"), "scored")
-    rare = both.filter("word IS NOT NULL").select("row", "word", "n")
-    seen = counts.select("word", F.col("n").alias("c"))
-    joined = rare.join(seen, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).cast("long").alias("more_known"))
-    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True)).alias("held_out")
-    return both.filter("word IS NULL").join(sums, "row", "left").select("doc_id", held, "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+            sums = [float(logs.value[np.frombuffer(x.as_py(), "<u4")].sum()) for x in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "n_known", "base", "score"])
+
+    names, schema = ["row", "score", "base", "known"], "row long, score double, base double, known long"
+    sums = map_arrow(frequent, of_frequent, schema).unionByName(map_arrow(rare.select("row", "side", "n", "h", "w", "hw"), of_rare, schema))
+    sums = sums.groupBy("row").agg(F.sum("score").alias("more"), F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = map_arrow(both.filter("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "dense"), of_dense, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
+    held = (F.col("row").bitwiseAND(3) == HELD_OUT).alias("held_out")
+    more = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return scored.join(sums, "row", "left").select("doc_id", held, "n_tokens", (F.col("n_known") + more("more_known")).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base") + more("more_base")).alias("base_score"), (F.col("score") + more("more")).alias("score"))

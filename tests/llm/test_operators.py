@@ -153,6 +153,50 @@ def test_language_model(docs, none):
     assert ngram_lm.score(none).count() == 0
 
 
+def test_language_model_counts_pairs_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "DENSE", 3)
+    monkeypatch.setattr(ngram_lm, "FREQUENT", 15)
+    monkeypatch.setattr(ngram_lm, "BUCKET_TOKENS", 500)
+    r, rows = random.Random(5), []
+    for i in range(400):
+        listed = []
+        for _ in range(r.randint(0, 25)):
+            w = int(60 ** r.random())
+            listed += [f"w{w}", f"x{w}"] if r.random() < 0.6 else [f"u{r.randrange(400)}"]
+        rows.append((i if i % 50 else None, " ".join(listed)))
+    got = ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = lambda t: list(zip([0, *t.split()], [*t.split(), 0], strict=True))
+    fold = lambda d: 0 if d is None else zlib.crc32(str(d).encode()) % 10
+
+    def estimates(rows):
+        hw = Counter(p for _, t in rows for p in pairs(t))
+        h, w, n = Counter(), Counter(), sum(hw.values())
+        for (a, b), k in hw.items():
+            h[a] += k
+            w[b] += k
+        return lambda a, b: (int(math.log2(h[a] + 1)), hw[a, b] / max(h[a], 1), w[b] / n), len(w)
+
+    train = [x for x in rows if fold(x[0])]
+    part, _ = estimates([x for x in train if fold(x[0]) != 1])
+    whole, distinct = estimates(train)
+    uniform, weights = 1 / (distinct + 1), {b: [1 / 3] * 3 for b in range(40)}
+    tune = [part(*p) for d, t in train if fold(d) == 1 for p in pairs(t)]
+    for _ in range(30):
+        mass = {b: [1e-3] * 3 for b in range(40)}
+        for b, p2, p1 in tune:
+            x = [k * p for k, p in zip(weights[b], (p2, p1, uniform), strict=True)]
+            mass[b] = [m + v / sum(x) for m, v in zip(mass[b], x, strict=True)]
+        weights = {b: [v / sum(x) for v in x] for b, x in mass.items()}
+
+    def want(t):
+        return sum(math.log10(sum(k * p for k, p in zip(weights[e[0]], (*e[1:], uniform), strict=True))) for e in (whole(*p) for p in pairs(t)))
+
+    assert len(got) == len(rows)
+    key = lambda d, n, s: (d is None, d or 0, n, s)
+    for a, b in zip(sorted(key(x["doc_id"], x["n_tokens"], x["score"]) for x in got), sorted(key(d, len(pairs(t)), want(t)) for d, t in rows), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 0.01 * a[2]
+
+
 def test_huffman():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 255, 256, 257, 5000):

@@ -39,16 +39,35 @@ def ship(spark: SparkSession) -> None:
     sc._palimpsest_shipped = True
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    ship(df.sparkSession)
+#: Rows and bytes that go to and from Python at a time: whole texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches that are bounded by rows and bytes; both are settings of the session, and smaller ones stay."""
+    spark = df.sparkSession
+    ship(spark)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        got = str(spark.conf.get(key))
+        if not got.isdigit() or int(got) > most or int(got) == 0:
+            spark.conf.set(key, str(most))
     return df.mapInArrow(run, schema)
 
 
+#: Shuffle files of a write that has ended are of no use; Spark keeps them until the driver collects its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    path, was = scratch(spark, name), spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,43 +1,57 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The random field
-labels the tokens between white space: what a token looks like and what its neighbours look like
-give its own potentials, neighbours share chain potentials, and tokens of a document that recur
-(same characters) or resemble each other (same last digits) share skip potentials, however far
-apart they are. Loopy message passing makes their labels agree, so that a number which is
-recognisable in one place is found in the others. Only tokens with a digit or ``@`` can be anything
-but "other"; all others have that label for sure, which cuts the chain between them exactly and
-keeps the work in proportion to the tokens that matter. Each token is tied to the last one
-like it, so skip edges are as many as tokens at most.
-
-The field is fitted piece by piece (own potentials by multinomial regression, pair potentials by how
-often labels meet) on the patterns' spans in a bounded sample of documents (SAMPLE_DOCS) and in
-examples that a fixed rule makes. What it labels with a probability of at least CERTAIN and
-no pattern's span touches is added; spans of patterns stay as they are.
-
-Defined results: null text is empty; without finds the span strings are empty. Offsets count code
-points, ends are exclusive. Repeated rows are treated each on their own.
+labels the text's runs of letters, digits and ``@._%+()-`` that have a digit or ``@``; everything
+else is "other" for sure, which cuts the chain between the runs exactly and keeps the work in
+proportion to the runs that matter. What a run, what stands before it and what its neighbours look
+like give its own potentials; neighbours with only white space between them share chain
+potentials; and all runs of a document that recur or resemble each other (the same characters, or
+the same last seven digits), however far apart, share skip potentials through a node of their own:
+the label of what they all mention. Loopy message passing makes their labels agree, so that a number
+which is recognisable in one place is found wherever it comes again, as ``5553824`` after
+``+1 (743) 555-3824``, and is left alone in documents where nothing says what it is.
+
+The field is fitted to documents that a fixed rule makes up and whose labels are known from the
+making: own, chain and skip potentials together, for the likelihood of all labels of a document. So nothing
+of the corpus goes to the driver, and a document's result depends on its text alone. What the field
+labels with a probability of at least CERTAIN and no pattern's span touches is added; spans of
+patterns stay as they are. Besides the patterns' kinds it knows one more: a secret, such as the
+value of an access token.
+
+Messages are passed until none changes by more than SETTLED, or for MOST_ROUNDS rounds in graphs
+that swing. Documents go through in groups of about GROUP_RUNS runs, at least one document each:
+memory is bounded by that and by the longest single document.
+
+Defined results: null and empty texts have no spans; an empty table has no rows. Offsets count code
+points, ends are exclusive. Very long texts and very long runs are read whole, in linear time.
+Repeated rows, and rows that share an id or have none, are treated each on their own. Of spans that
+start together the longer one masks. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
-SAMPLE_DOCS, CERTAIN, ROUNDS = 1000, 0.9, 12
-#: A made-up document's worth of examples of each kind.
-MADE_UP = 150
+#: The field's kinds; secrets have no pattern.
+FOUND = (*KINDS, "secret")
+LABELS = ("other", *FOUND)
+CERTAIN, SETTLED, MOST_ROUNDS = 0.8, 1e-3, 200
+#: Runs that go through message passing together.
+GROUP_RUNS = 20_000
+#: Made-up documents to fit the field to.
+MADE_UP = 400
 
 Span = tuple[str, int, int]
 
@@ -47,8 +61,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
+_RUN, _IN_RUN = re.compile(r"[A-Za-z0-9@._%+()-]+"), _LOCAL | frozenset("@()")
+_NOT_DIGIT, _HEX = re.compile(r"[^0-9]+"), re.compile(r"[0-9a-fA-F]+")
+_SPACE = " \t\n\r\x0b\x0c"
 
 
 def luhn(digits: str) -> bool:
@@ -94,80 +109,120 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def looks(token: str) -> list[int]:
-    """Features of a token by itself, as numbers below OWN."""
-    core = token.strip(".,;:!?\"'()[]{}<>%$&*#|")
-    digits = sum(map(str.isdigit, core)) if len(core) < 100 else 99
-    dots, at = core.count("."), core.find("@")
-    letters = any(map(str.isalpha, core[:100]))
-    out = [0, 1 + min(digits, 20) // 2 if digits < 21 else 12]
-    out.append(13 + min(dots, 4))
-    if at > 0:
-        out.append(18 if "." in core[at:] else 19)
-    if "+" in token[:2]:
-        out.append(20)
-    if "(" in token:
-        out.append(21)
-    if "-" in core[1:]:
-        out.append(22)
-    if letters:
-        out.append(23 if at < 0 else 24)
-    if dots == 3 and all(x.isdigit() and len(x) <= 3 and int(x) < 256 for x in core.split(".")):
-        out.append(25)
-    if 13 <= digits <= 19 and core.isdigit() and core.isascii():
-        out.append(26 if luhn(core) else 27)
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the runs that may be personal data."""
+    free, m = 0, _ANY.search(text)
+    while m:
+        start = m.start()
+        while start > free and text[start - 1] in _IN_RUN:
+            start -= 1
+        free = _RUN.match(text, m.start()).end()
+        yield start, free
+        m = _ANY.search(text, free)
+
+
+# Own features, by number.
+_BIAS, _DIGITS, _DOTS, _ADDRESS, _AT, _PLUS, _BRACKET, _DASH, _LETTERS, _LENGTH, _IP4, _VALID, _INVALID, _SET, _QUOTED = 0, 1, 24, 29, 30, 31, 32, 33, 34, 37, 47, 48, 49, 50, 51
+OWN = 52
+#: Own features, and those of the run before and after if only white space lies between; all again for runs that others are alike.
+FEATURES = 6 * OWN
+#: Three shapes of keys by how many runs have them: 2 or 3, 4 to 7, more.
+NODE_FEATURES = 9
+
+
+def looks(text: str, start: int, end: int) -> list[int]:
+    """Features of a run by itself and of what stands before it, as numbers below OWN."""
+    run = text[start:end]
+    core = run.strip("._%+()-")
+    digits = _NOT_DIGIT.sub("", core)
+    n, dots, at = len(digits), core.count("."), core.find("@")
+    letters = 0 if n + dots + core.count("-") + core.count("(") + core.count(")") == len(core) else 1 if _HEX.fullmatch(core) else 2
+    out = [_BIAS, _DIGITS + min(n, 22), _DOTS + min(dots, 4), _LETTERS + letters, _LENGTH + min(len(core).bit_length(), 9)]
+    if at >= 0:
+        out.append(_ADDRESS if at and "." in core[at:] else _AT)
+    if run[0] == "+":
+        out.append(_PLUS)
+    if "(" in run or ")" in run:
+        out.append(_BRACKET)
+    if "-" in core:
+        out.append(_DASH)
+    if dots == 3 and n + 3 == len(core) and n <= 12 and all(x and int(x) < 256 for x in core.split(".")):
+        out.append(_IP4)
+    if 13 <= n <= 19 and n == len(core):
+        out.append(_VALID if luhn(digits) else _INVALID)
+    before = start - 1
+    if before >= 0 and text[before] in "\"'`":
+        out.append(_QUOTED)
+        before -= 1
+    while before >= 0 and text[before] == " ":
+        before -= 1
+    if before >= 0 and text[before] in "=:":
+        out.append(_SET)
     return out
 
 
-OWN = 28
-#: Own features, and those of the candidate before and after if it is the next token.
-FEATURES = 3 * OWN
-
-
-def alike(token: str) -> str | None:
-    """Tokens with the same key share a skip potential."""
-    digits = "".join(c for c in token[:200] if c.isdigit())
-    if len(digits) >= 7:
-        return digits[-7:]
-    return token.strip(".,;:!?\"'").lower() if "@" in token and len(token) < 200 else None
+def alike(run: str) -> str | None:
+    """Runs with the same key mention the same thing."""
+    core = run.strip("._%+()-").lower()
+    if "@" in core or core.count(".") == 3:
+        return core
+    digits = _NOT_DIGIT.sub("", core)
+    if len(digits) < 7:
+        return None
+    return digits[-7:] if len(digits) + core.count("-") + core.count("(") + core.count(")") + core.count(".") == len(core) else core
 
 
 class Graph:
-    """Candidate tokens of several documents with their features and edges."""
+    """Runs of several documents with their features and edges, and the nodes that runs alike share."""
 
     def __init__(self):
         self.spans: list[tuple[int, int, int]] = []  # document, start, end
-        self.rows: list[int] = []
         self.cols: list[int] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.ends: list[int] = []  # where each run's features end
+        self.share: list[float] = []  # of runs alike that look the same each counts for its share, so that saying it again proves nothing
+        self.chain: list[int] = []  # runs that follow the one before with only white space between
+        self.skip: list[tuple[int, int]] = []  # run, node
+        self.nodes: list[int] = []  # each one's feature
 
     def add(self, doc: int, text: str) -> None:
-        last, seen = None, {}
-        for m in _CANDIDATE.finditer(text):
-            n, token = len(self.spans), m.group()
-            self.spans.append((doc, *m.span()))
-            own = looks(token)
-            self.rows += [n] * len(own)
-            self.cols += own
-            if last is not None and text[last[1] : m.start()].strip(" \t\n\r\x0b\x0c") == "":
-                self.chain.append((n - 1, n))
-                self.rows += [n] * len(last[2]) + [n - 1] * len(own)
-                self.cols += [OWN + x for x in last[2]] + [2 * OWN + x for x in own]
-            last = m.start(), m.end(), own
-            key = alike(token)
+        first, own, again = len(self.spans), [], {}
+        seen: dict[str, list[int]] = {}
+        for start, end in runs(text):
+            n = len(self.spans)
+            self.spans.append((doc, start, end))
+            own.append(looks(text, start, end))
+            if n > first and not text[self.spans[n - 1][2] : start].strip(_SPACE):
+                self.chain.append(n)
+            key = alike(text[start:end])
             if key is not None:
-                if key in seen and self.chain[-1:] != [(seen[key], n)]:
-                    self.skip.append((seen[key], n))
-                seen[key] = n
-
-    def features(self) -> np.ndarray:
-        x = np.zeros((len(self.spans), FEATURES))
-        x[self.rows, self.cols] = 1
-        return x
+                seen.setdefault(key, []).append(n)
+        for key, all_ in seen.items():
+            if len(all_) > 1:
+                self.skip += [(n, len(self.nodes)) for n in all_]
+                self.nodes.append(3 * (0 if key.isdigit() else 1 if "@" in key or "." in key else 2) + min(len(all_).bit_length(), 4) - 2)
+                looked = Counter(tuple(own[n - first]) for n in all_)
+                again |= {n: 1 / looked[tuple(own[n - first])] for n in all_}
+        after = set(self.chain[-len(own) :]) if own else ()
+        for i, x in enumerate(own):
+            block = 3 * OWN if first + i in again else 0
+            self.cols += [block + f for f in x]
+            if first + i in after:
+                self.cols += [block + OWN + f for f in own[i - 1]]
+            if first + i + 1 in after:
+                self.cols += [block + 2 * OWN + f for f in own[i + 1]]
+            self.ends.append(len(self.cols))
+            self.share.append(again.get(first + i, 1.0))
+
+    def own(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of the weights of each run's features, few runs at a time."""
+        cols, ends, out = np.array(self.cols, np.int32), np.array(self.ends, np.int64), np.zeros((len(self.ends), weights.shape[1]))
+        for i in range(0, len(ends), 4096):
+            begin = int(ends[i - 1]) if i else 0
+            starts = np.concatenate([[begin], ends[i : i + 4096][:-1]]) - begin
+            out[i : i + 4096] = np.add.reduceat(weights[cols[begin : ends[min(i + 4096, len(ends)) - 1]]], starts)
+        return out * np.array(self.share)[:, None]
 
     def labels(self, spans: dict[int, list[Span]]) -> np.ndarray:
-        """What the patterns say of each token."""
         return np.array([next((LABELS.index(k) for k, s, e in spans.get(d, ()) if s < end and start < e), 0) for d, start, end in self.spans], int)
 
 
@@ -176,115 +231,212 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
+def _passed(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Log messages from log beliefs [edge, label] through potentials [label, label at the other end]."""
+    return np.log(np.exp(x - x.max(1, keepdims=True)) @ np.exp(pair))
+
+
 class Field:
-    def __init__(self, own: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.own, self.chain, self.skip = own, chain, skip
+    """Own potentials by feature, chain potentials [label, next label], skip potentials [label of the mentioned, label of the run], and the mentioned's own by feature."""
+
+    def __init__(self, own: np.ndarray, chain: np.ndarray, skip: np.ndarray, node: np.ndarray):
+        self.own, self.chain, self.skip, self.node = own, chain, skip, node
 
     @classmethod
-    def fit(cls, texts: list[str]) -> Field:
-        graph, spans = Graph(), {}
-        for i, text in enumerate([*texts, *made_up()]):
-            spans[i] = base_spans(text)
+    def fit(cls, made: list[tuple[str, list[Span]]], steps: int = 250, joint: int = 150, decay: float = 5e-5) -> Field:
+        """By the pseudo-likelihood at first, each run's label given its features and the true labels next to it.
+
+        Then by the likelihood of all labels of a document together, whose gradient is what the
+        truth has less what message passing expects. A node's true label is what most of its runs have.
+        """
+        graph, kinds = Graph(), len(LABELS)
+        for i, (text, _) in enumerate(made):
             graph.add(i, text)
-        x, y = graph.features(), graph.labels(spans)
-        target, own = np.eye(len(LABELS))[y], np.zeros((FEATURES, len(LABELS)))
-        step = np.zeros_like(own)
-        for _ in range(300):
-            step = 0.9 * step + x.T @ (target - _softmax(x @ own)) / len(y) - 1e-4 * own
-            own += 2.0 * step
-
-        def pair(edges: list[tuple[int, int]]) -> np.ndarray:
-            met = np.zeros((len(LABELS), len(LABELS)))
-            if edges:
-                a, b = np.array(edges).T
-                np.add.at(met, (y[a], y[b]), 1)
-                np.add.at(met, (y[b], y[a]), 1)
-            part = (met.sum(0) + 1) / (met.sum() + len(LABELS))
-            by_chance = met.sum() * part * part[:, None]
-            return np.clip(np.log((met + 1) / (by_chance + 1)), -2.5, 2.5)
-
-        return cls(own, pair(graph.chain), pair(graph.skip))
-
-    def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Label probabilities of each token, by damped sum-product messages along both ways of each edge."""
-        own = graph.features() @ self.own
-        edges = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
-        if not len(edges):
-            return _softmax(own)
-        e, kinds = len(edges), len(LABELS)
-        of, to = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        one = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
-        pair = np.concatenate([one, one.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-        sent, belief = np.zeros((2 * e, kinds)), own
-        for _ in range(rounds):
-            into = (belief[of] - sent[back])[:, :, None] + pair
-            top = into.max(1, keepdims=True)
-            new = np.log(np.exp(into - top).sum(1)) + top[:, 0]
+        y = graph.labels({i: s for i, (_, s) in enumerate(made)})
+        n, one = len(y), np.eye(kinds)
+        x = np.zeros((n, FEATURES))
+        x[np.repeat(np.arange(n), np.diff(graph.ends, prepend=0)), graph.cols] = np.repeat(graph.share, np.diff(graph.ends, prepend=0))
+        edges = Edges(graph)
+        right, run, node = edges.right, edges.run, edges.node
+        votes = np.zeros((len(graph.nodes), kinds))
+        np.add.at(votes, (node, y[run]), 1)
+        y = np.concatenate([y, votes.argmax(1)])
+        p = [np.zeros((FEATURES, kinds)), np.zeros((kinds, kinds)), np.zeros((kinds, kinds)), np.zeros((NODE_FEATURES, kinds))]
+        of_node = np.eye(NODE_FEATURES)[graph.nodes]
+        moved = [np.zeros_like(q) for q in p]
+
+        def step(gradients, rate: float) -> None:
+            for i, g in enumerate(gradients):
+                moved[i] = 0.9 * moved[i] + g / n - decay * p[i]
+                p[i] = p[i] + rate * moved[i]
+            p[2] = p[2] - np.log(np.exp(p[2]).sum(1, keepdims=True))  # a run that tells nothing has no say in its node's label
+
+        after, before, mentioned = np.zeros((n, kinds)), np.zeros((n, kinds)), np.zeros((n, kinds))
+        after[right], before[right - 1], mentioned[run] = one[y[right - 1]], one[y[right]], one[y[n + node]]
+        for _ in range(steps):
+            miss = one[y[:n]] - _softmax(x @ p[0] + after @ p[1] + before @ p[1].T + mentioned @ p[2])
+            step((x.T @ miss, after.T @ miss + (before.T @ miss).T, mentioned.T @ miss), 1.5)
+        truth = one[y[right - 1]].T @ one[y[right]], one[y[n + node]].T @ one[y[run]]
+        moved, sent = [np.zeros_like(q) for q in p], None
+        for _ in range(joint):  # messages go on from one step to the next
+            belief, sent = edges.passed(np.concatenate([x @ p[0], of_node @ p[3]]), p[1], p[2], 5, sent)
+            pairs = edges.expected(belief, sent, p[1], p[2])
+            miss = one[y] - _softmax(belief)
+            step((x.T @ miss[:n], *(t - q for t, q in zip(truth, pairs, strict=True)), of_node.T @ miss[n:]), 1.0)
+        return cls(*p)
+
+    def marginals(self, graph: Graph) -> np.ndarray:
+        """Label probabilities of each run."""
+        own = np.concatenate([graph.own(self.own), self.node[np.array(graph.nodes, np.int64)]])
+        return _softmax(Edges(graph).passed(own, self.chain, self.skip, MOST_ROUNDS)[0][: len(graph.spans)])
+
+
+class Edges:
+    """A graph's edges both ways: runs before to runs after, nodes to their runs, and back in the same order."""
+
+    def __init__(self, graph: Graph):
+        self.right, pairs = np.array(graph.chain, np.int64), np.array(graph.skip, np.int64).reshape(-1, 2)
+        self.run, self.node = pairs[:, 0], pairs[:, 1]
+        n = len(graph.spans)
+        a, b = np.concatenate([self.right - 1, n + self.node]), np.concatenate([self.right, self.run])
+        self.of, self.to = np.concatenate([a, b]), np.concatenate([b, a])
+        self.e, self.c = len(a), len(self.right)
+        self.back = np.concatenate([np.arange(self.e, 2 * self.e), np.arange(self.e)])
+
+    def passed(self, own: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int, sent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log beliefs of runs and nodes, and messages, after damped rounds of sum-product."""
+        kinds, e, c = own.shape[1], self.e, self.c
+        sent = np.zeros((2 * e, kinds)) if sent is None else sent
+        gathered = lambda: own + np.stack([np.bincount(self.to, sent[:, k], len(own)) for k in range(kinds)], 1)
+        belief = gathered() if e else own
+        for _ in range(rounds if e else 0):
+            into, new = belief[self.of] - sent[self.back], np.empty_like(sent)
+            for at, end, pair in ((0, c, chain), (c, e, skip), (e, e + c, chain.T), (e + c, 2 * e, skip.T)):
+                new[at:end] = _passed(into[at:end], pair)
             new -= new.max(1, keepdims=True)
-            sent = 0.5 * sent + 0.5 * new
-            belief = own + np.stack([np.bincount(to, sent[:, k], len(own)) for k in range(kinds)], 1)
-        return _softmax(belief)
-
-
-def made_up() -> list[str]:
-    """Examples by a fixed rule: each kind, and numbers that are nothing of the sort."""
-    r = random.Random(7)
+            change = float(np.abs(new - sent).max())
+            sent = 0.5 * (sent + new)
+            belief = gathered()
+            if change < SETTLED:
+                break
+        return belief, sent
+
+    def expected(self, belief: np.ndarray, sent: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> Iterator[np.ndarray]:
+        """How often each pair of labels is expected on chain and on skip edges."""
+        into = belief[self.of] - sent[self.back]
+        for at, end, pair in ((0, self.c, chain), (self.c, self.e, skip)):
+            both = into[at:end, :, None] + pair + into[self.e + at : self.e + end, None, :]
+            both = np.exp(both - both.max((1, 2), keepdims=True))
+            yield (both / both.sum((1, 2), keepdims=True)).sum(0)
+
+
+def made_up(n: int = MADE_UP, seed: int = 7) -> list[tuple[str, list[Span]]]:
+    """Documents by a fixed rule, with the spans of what they mention.
+
+    Things of each kind, told by their form or by what stands before them; later mentions of some that
+    by themselves could be anything; and numbers, codes and names that are nothing of the sort, of
+    which some recur as well.
+    """
+    r, out = random.Random(seed), []
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
 
+    def code(n):
+        x = hashlib.sha256(number(9).encode()).hexdigest()[:n]
+        return x.upper() if r.random() < 0.2 else x
+
     def card():
         digits = number(15)
         return next(digits + str(k) for k in range(10) if luhn(digits + str(k)))
 
-    out = []
-    for _ in range(MADE_UP):
-        email, ip = f"{word()}.{r.randint(1, 99)}@{word()}.{r.choice(('com', 'org', 'net'))}", ".".join(str(r.randint(1, 254)) for _ in range(4))
-        phone = f"+{r.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}"
-        other = [number(r.randint(1, 12)), f"{r.randint(1900, 2030)}", f"{number(2)}.{number(2)}", f'"{hashlib.sha1(number(4).encode()).hexdigest()}"', f"{number(1)}.{number(1)}.{number(2)}", f"v{number(1)}.{number(2)}", f"{number(3)}-{number(2)}", f"@{word()}"]
-        items = [email, ip, phone, card(), card(), *r.sample(other, 4)]
-        items += [items[r.randrange(5)] for _ in range(2)]  # some recur
-        r.shuffle(items)
-        out.append(" ".join(f"{word()} {word()} {x}{r.choice(('', '', '.', ','))} {word()}" for x in items))
+    def thing() -> list[tuple[str, str]]:
+        """What stands before, and the mention: the first and later ones."""
+        kind = r.choice(FOUND)
+        if kind == "email":
+            x = f"{word()}{r.choice(('.', '_', ''))}{r.choice((word(), number(2)))}@{word()}{r.choice(('', number(1)))}.{r.choice(('com', 'org', 'example.com'))}"
+            all_ = [x, x]
+        elif kind == "ip":
+            x = ".".join(str(r.randint(0, 255)) for _ in range(4))
+            all_ = [x, x]
+        elif kind == "card":
+            x = card() if r.random() < 0.5 else number(16)
+            all_ = [x if r.random() < 0.7 else r.choice(" -").join(x[i : i + 4] for i in range(0, 16, 4)), x]
+        elif kind == "phone":
+            area, a, b = number(3), number(3), number(4)
+            plain = r.choice((a + b, area + a + b, f"{a}-{b}"))
+            all_ = [f"+{r.randint(1, 99)} {r.choice((f'({area})', area))} {a}{r.choice('- .')}{b}", r.choice((f"{a}-{b}", a + b, area + a + b, f"{area}-{a}-{b}", f"({area}) {a}-{b}")), plain]
+        else:
+            x = code(r.choice((32, 40, 64)))
+            quote = r.choice(('"', '"', "'", ""))
+            cue = (kind, f"{r.choice((word(), 'token', 'key', 'secret'))} {r.choice(('=', '=', ':'))} {quote}", x, quote)
+            return [cue, *r.choices((cue, (kind, r.choice(("", '"')), x, "")), k=r.choice((0, 0, 1, 1, 2, 5)))]
+        return [(kind, "", x, "") for x in [*all_, *all_[-1:] * 9][: r.choice((1, 1, 1, 2, 2, 3, 6, 11))]]
+
+    def nothing() -> list[tuple[str, str]]:
+        x = r.choice((
+            lambda: number(r.randint(1, 6)), lambda: number(r.randint(7, 12)), lambda: number(7), lambda: number(10), lambda: f"{number(3)}-{number(4)}",
+            lambda: f"{r.randint(1900, 2030)}", lambda: f"{number(1)}.{number(1)}", lambda: f"{number(2)}.{number(2)}", lambda: f"{number(1)}.{number(1)}.{number(2)}", lambda: f"v{number(1)}.{number(2)}",
+            lambda: f"{r.randint(1, 28)}-{r.randint(1, 12)}-{r.randint(1990, 2030)}", lambda: f"{number(3)}-{number(1)}-{number(5)}-{number(2)}", lambda: f"@{word()}", lambda: f"{word()}{number(2)}", lambda: code(r.choice((8, 12, 40, 40))),
+            lambda: f"({number(2)})", lambda: f"{number(2)}%", lambda: f"{number(3)}.{number(3)}.{number(3)}.{number(3)}.{number(2)}", lambda: f"{word()}-{number(4)}", lambda: number(r.choice((13, 14, 17, 18))) + r.choice("abcx"),
+        ))()
+        before = r.choice(("", "", "", f"{word()} = ", f"{word()}: ")) if len(x) < 20 else ""
+        return [("", before, x, "")] * r.choice((1, 2, 3, 5) if alike(x) else (1, 1, 1, 2))
+
+    for _ in range(n):
+        items = [m for _ in range(r.randint(0, 4)) for m in thing()] + [m for _ in range(r.randint(1, 6)) for m in nothing()]
+        first = {id(x): i for i, x in enumerate(items)}
+        items = sorted(items, key=lambda x: first[id(x)] + 6 * r.random())
+        text, spans = word(), []
+        for kind, before, x, behind in items:
+            text += r.choice((" ", f" {word()} ", f" {word()} {word()} ", f", {word()} ")) + before
+            if kind:
+                spans.append((kind, len(text), len(text) + len(x)))
+            text += x + behind + r.choice(("", "", ".", ",", "!!"))
+        out.append((f"{text} {word()}", spans))
     return out
 
 
+@functools.cache
+def standard() -> Field:
+    return Field.fit(made_up())
+
+
 def added_spans(graph: Graph, marginals: np.ndarray, texts: list[str], base: list[list[Span]], certain: float = CERTAIN) -> dict[int, list[Span]]:
-    """Runs of neighbouring tokens that surely have one label, where no pattern's span is."""
+    """Neighbouring runs that surely have one label, where no pattern's span is."""
     label = np.where(marginals.max(1) >= certain, marginals.argmax(1), 0)
-    linked, out, i = {b for _, b in graph.chain}, {}, 0
-    while i < len(label):
+    linked, out, covered = set(graph.chain), {}, {}
+    for i in np.flatnonzero(label).tolist():
+        if i in linked and label[i] == label[i - 1]:
+            continue  # the one before has taken it
         j = i + 1
-        if label[i]:
-            while j < len(label) and j in linked and label[j] == label[i]:
-                j += 1
-            doc, start, _ = graph.spans[i]
-            end, text = graph.spans[j - 1][2], texts[graph.spans[i][0]]
-            while start < end and not (text[start].isalnum() or text[start] in "+("):
-                start += 1
-            while start < end and not text[end - 1].isalnum():
-                end -= 1
-            if start < end and not any(s < end and start < e for _, s, e in base[doc]):
-                out.setdefault(doc, []).append((KINDS[label[i] - 1], start, end))
-        i = j
+        while j in linked and j < len(label) and label[j] == label[i]:
+            j += 1
+        doc, start, _ = graph.spans[i]
+        end, text = graph.spans[j - 1][2], texts[doc]
+        while start < end and not (text[start].isalnum() or text[start] in "+("):
+            start += 1
+        while start < end and not (text[end - 1].isalnum() or text[end - 1] == ")"):
+            end -= 1
+        if doc not in covered:
+            by = sorted((s, e) for _, s, e in base[doc])
+            covered[doc] = np.array([s for s, _ in by], int), np.maximum.accumulate([e for _, e in by]) if by else np.zeros(0, int)
+        starts, ends = covered[doc]
+        k = int(np.searchsorted(starts, end))  # spans that start before the end
+        if start < end and not (k and ends[k - 1] > start):
+            out.setdefault(doc, []).append((FOUND[label[i] - 1], start, end))
     return out
 
 
 def find(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """The patterns' spans and all spans of each text, by kind and then start."""
-    base, graph = [base_spans(x) for x in texts], Graph()
+    base, more, graph = [base_spans(x) for x in texts], {}, Graph()
     for i, x in enumerate(texts):
         if _ANY.search(x):
             graph.add(i, x)
-    more = added_spans(graph, field.marginals(graph), texts, base) if graph.spans else {}
-    return [(b, sorted(b + more.get(i, []), key=lambda s: (KINDS.index(s[0]), s[1]))) for i, b in enumerate(base)]
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """From at most sample_docs documents: those whose ids' hashes come first."""
-    ids = [r[0] for r in docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    rows = docs.filter(F.col("doc_id").isin(ids)).select("doc_id", "text").collect() if ids else []
-    return Field.fit([t for _, t in sorted((r[0], r[1] or "") for r in rows)])
+        if graph.spans and (i + 1 == len(texts) or len(graph.spans) >= GROUP_RUNS):
+            more |= added_spans(graph, field.marginals(graph), texts, base)
+            graph = Graph()
+    return [(b, sorted(b + more.get(i, []), key=lambda s: (FOUND.index(s[0]), s[1]))) for i, b in enumerate(base)]
 
 
 def _text(spans: list[Span]) -> str:
@@ -292,22 +444,22 @@ def _text(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (all of the patterns' spans), spans, n_added."""
-    field = field or fit(docs)
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (all of the patterns' spans), spans, n_added, n_spans."""
+    field = field or standard()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 found = find(field, [x or "" for x in part.column(1).to_pylist()])
                 counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
                 sha = pa.array([hashlib.sha256(_text(b).encode()).hexdigest() for b, _ in found], pa.string())
-                cols = [part.column(0), *counts, sha, pa.array([_text(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                more = [pa.array(x, pa.int64()) for x in ([len(a) - len(b) for b, a in found], [len(a) for _, a in found])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, sha, pa.array([_text(a) for _, a in found], pa.string()), *more], names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -322,13 +474,13 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with personal data in ``text`` replaced; all other columns and null texts as they are."""
-    field = field or fit(docs)
+    field = field or standard()
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 texts = part.column(at).to_pylist()
                 found = find(field, [x or "" for x in texts])
                 new = pa.array([None if x is None else masked(x, a) for x, (_, a) in zip(texts, found, strict=True)], pa.string())

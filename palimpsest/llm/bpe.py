@@ -8,7 +8,9 @@ takes a shorter prefix, and where none is left, it steps back over the last one;
 was left in this way is not entered again, so the work is linear in the piece. The
 result is the sequence that merging by ranks gives.
 
-Defined results: null text is empty and has no ids; repeated rows are encoded each.
+Defined results: null and empty texts have no ids; repeated rows, and rows that share an id or have
+none, are encoded each; an empty table gives no rows. Very long texts and pieces are encoded whole,
+and pieces beyond a bound of length are not kept. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ class Backtracking:
                     self.left[rank], self.right[rank] = a, b
                     self.joined[a, b] = rank
                     break
-        self.kept = Kept(600_000)
+        self.kept = Kept(lambda x: array("I", self.piece(x.encode())).tobytes(), 600_000)
 
     def _stand(self, a: int, b: int) -> bool:
         """Whether a and b stay neighbours: undo the later merge again and again; no pair across may join before."""
@@ -115,21 +117,10 @@ class Backtracking:
                 at -= size[token]
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        out, kept = [], self.kept
-        kept.trim()
-        for text in texts:
-            ids = []
-            for x in self.pattern.findall(text):
-                got = kept.get(x)
-                if got is None:
-                    got = array("I", self.piece(x.encode())).tobytes()
-                    if len(x) < 100:
-                        kept[x] = got
-                ids.append(got)
-            out.append(b"".join(ids))
-        return out
+        self.kept.trim()
+        return b"".join(map(self.kept.young.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -139,7 +130,7 @@ class Backtracking:
 def encoder(path: str, pattern: str) -> tuple[Backtracking, ChunkCache]:
     """One for each process."""
     own = Backtracking(path, pattern)
-    return own, ChunkCache(own.encode_many)
+    return own, ChunkCache(own.encode)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:

@@ -2,63 +2,79 @@
 
 The split pattern of these vocabularies never lets a piece run on into a space that stands alone
 between two characters that aren't white space, so texts can be cut in front of each such space.
-Most chunks recur: their ids are kept, in a cache of bounded size, as little-endian bytes.
+Most chunks recur: their ids are kept as little-endian bytes, in a cache that is bounded by its
+number of chunks and by their length; longer chunks are encoded each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Characters of the longest chunk or piece that is kept.
+LONGEST = 48
+
+
+class _NotAlone(Exception):
+    """A space beside other white space: only the split pattern itself can cut the text."""
+
+
+class _Young(dict):
+    __slots__ = ("missed",)
+
+    def __missing__(self, key: str) -> bytes:
+        return self.missed(key)
+
 
 class Kept:
     """Values by key in two generations: when the young one is full, it becomes the old one, and only what is asked for again moves on."""
 
-    def __init__(self, most: int):
-        self.most = most // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.old = make, most // 2, {}
+        self.young = self._fresh()
 
-    def get(self, key: str) -> bytes | None:
-        got = self.young.get(key)
+    def _fresh(self) -> _Young:
+        out = _Young()
+        out.missed = self._missed
+        return out
+
+    def _missed(self, key: str) -> bytes:
+        got = self.old.get(key)
         if got is None:
-            got = self.old.get(key)
-            if got is not None:
-                self.young[key] = got
+            got = self.make(key)
+        if len(key) <= LONGEST:
+            self.young[key] = got
         return got
 
-    def __setitem__(self, key: str, value: bytes) -> None:
-        self.young[key] = value
-
     def trim(self) -> None:
         if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, self._fresh()
 
 
 class ChunkCache:
-    """ids of texts through encode_many(chunks) -> ids as bytes; most: chunks kept at a time."""
+    """ids of texts, as bytes, through encode(text) -> ids; most: chunks kept at a time."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.encode_many, self.kept = encode_many, Kept(most)
+    def __init__(self, encode: Callable[[str], bytes], most: int = 600_000):
+        self.encode_whole = encode
+        self.kept = Kept(self._chunk, most)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Of a chunk with the space in front of it."""
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _NotAlone
+        return self.encode_whole(" " + chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
             first, *rest = text.split(" ")
             self.kept.trim()
-            young = self.kept.young
-            missing = set(rest).difference(young)
-            if missing:
-                if self.kept.old:
-                    missing = [x for x in missing if self.kept.get(x) is None]
-                # a space beside other white space (kept chunks have none at their ends): only the split pattern itself can cut
-                unsafe = any(not x or x[0].isspace() or x[-1].isspace() for x in missing)
-            if (missing and unsafe) or (first and rest and first[-1].isspace()):
-                out.append(self.encode_many([text])[0])
+            if first and rest and first[-1].isspace():
+                out.append(self.encode_whole(text))
+                continue
+            try:
+                ids = b"".join(map(self.kept.young.__getitem__, rest))
+            except _NotAlone:
+                out.append(self.encode_whole(text))
                 continue
-            if missing:
-                young.update(zip(missing, self.encode_many([" " + x for x in missing]), strict=True))
-            out.append((self.encode_many([first])[0] if first else b"") + b"".join(map(young.__getitem__, rest)))
+            out.append((self.encode_whole(first) if first else b"") + ids)
         return out

@@ -37,8 +37,8 @@ MAX_BITS, BLOCK, END_ID = 16, 256, 2
 SEGMENT_IDS = 500_000
 MAGIC = b"PTK1"
 
-#: A word, with the space in front, and signs after it: two pieces of the split pattern.
-_WORD = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)?")
+#: A word and signs after it: two pieces of the split pattern.
+_WORD = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 
 _BESIDE_LINE_END = re.compile(r"\s\n|\n\s|^\n|\n$")
 
@@ -47,7 +47,7 @@ _BESIDE_LINE_END = re.compile(r"\s\n|\n\s|^\n|\n$")
 def tokenizer(path: str) -> ChunkCache:
     """A cache in front of the library, one for each process; special tokens' strings are ordinary text.
 
-    Chunks that are plainly one or two pieces go to the library's model by themselves, all
+    Texts that are plainly one or a few pieces go to the library's model piece by piece, all
     others through its whole way from text to ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,48 +55,40 @@ def tokenizer(path: str) -> ChunkCache:
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    model, kept = own.model, Kept(900_000)
     by_pieces = own.normalizer is None and isinstance(own.pre_tokenizer, pre_tokenizers.ByteLevel) and not own.pre_tokenizer.add_prefix_space
     # what byte-level vocabularies write for each byte: printable ones as they are, all others from 256 on
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in plain]
     written = {b: 256 + i for i, b in enumerate(others)}
+    tokenize, space = own.model.tokenize, chr(written[ord(" ")])
 
-    tokenize, space = model.tokenize, chr(written[ord(" ")])
-
-    def piece(x: str, letters: bool) -> bytes:
-        """The ids of a piece that the young generation doesn't have."""
-        got = kept.old.get(x)
-        if got is None:
-            # among ASCII letters only the space in front is written as another character
-            spelt = x.replace(" ", space) if letters and x.isascii() else x.encode().decode("latin-1").translate(written)
-            got = array("I", [t.id for t in tokenize(spelt)]).tobytes()
-        if len(x) < 100:
-            kept.young[x] = got
-        return got
-
-    (line_end,) = (array("I", x.ids).tobytes() for x in own.encode_batch(["\n"], add_special_tokens=False))
-
-    def encode_many(texts: list[str]) -> list[bytes]:
-        kept.trim()
-        young = kept.young
-        out: list[bytes] = [b""] * len(texts)
-        whole = []
-        for i, x in enumerate(texts):
-            m = _WORD.fullmatch(x) if by_pieces else None
-            if m and (x.isascii() or m[1].lstrip(" ").isalpha()):
-                word, signs = m.groups()
-                got = young.get(word) or piece(word, True)
-                out[i] = got + (young.get(signs) or piece(signs, False)) if signs else got
-            elif by_pieces and "\n" in x and not _BESIDE_LINE_END.search(x):  # a line end by itself is a piece
-                out[i] = line_end.join(encode_many(x.split("\n")))
-            else:
-                whole.append(i)
-        for i, x in zip(whole, own.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, "<u4").tobytes()
-        return out
-
-    return ChunkCache(encode_many, 600_000)
+    def piece(x: str) -> bytes:
+        """The ids of a piece."""
+        # of ASCII letters and signs only the space in front is written as another character
+        spelt = x.replace(" ", space) if x.isascii() else x.encode().decode("latin-1").translate(written)
+        return array("I", [t.id for t in tokenize(spelt)]).tobytes()
+
+    def whole(x: str) -> bytes:
+        return array("I", own.encode(x, add_special_tokens=False).ids).tobytes()
+
+    line_end, pieces = whole("\n"), Kept(piece, 300_000)
+
+    def encode(x: str) -> bytes:
+        if by_pieces and x:
+            pieces.trim()
+            spaced = x[0] == " "
+            word = x[1:] if spaced else x
+            if word.isalpha():
+                return piece(x) if spaced else pieces.young[x]  # chunks are kept already
+            m = _WORD.fullmatch(word)
+            if m and (word.isascii() or m[1].isalpha()):
+                return (cache.kept.young[m[1]] if spaced else pieces.young[m[1]]) + pieces.young[m[2]]
+            if "\n" in word and len(word) > 1 and not _BESIDE_LINE_END.search(x):  # a line end by itself is a piece
+                return line_end.join([encode(y) for y in x.split("\n")])
+        return whole(x) if x else b""
+
+    cache = ChunkCache(encode, 600_000)
+    return cache
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -213,7 +205,7 @@ def token_segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFram
 
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
     # the sort's order makes tasks consecutive shards
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
     return map_arrow(ordered, run, f"shard int, segment int, doc_ids array<{kind.simpleString()}>, sizes array<bigint>, ids binary")
 
 

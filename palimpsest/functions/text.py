@@ -63,3 +63,49 @@ def stop_list() -> str:
 
 def first_sentence(d: Spark, x: str) -> str:
     return f"coalesce(nullif(trim({d.first(x, r'^(.+?[.!?])[ \t\n\r]')}), ''), trim({d.head(x, 200)}))"
+
+
+#: Months, words that end an event's name, capitalised words that name nothing.
+MONTHS = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+    "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec",
+)
+EVENT_HEADS = ("support group", "workshop", "conference", "meeting", "event", "race", "trip", "hike", "class", "course", "job", "promotion", "accident", "party", "program", "test", "group")
+NOT_ENTITIES = ("Speaker", "Image", "Date", "Episode", "The", "This", "That")
+#: Cues of elapsed time, order and relative time in a question in lower case; the first match of each counts.
+TIME_CUES = (
+    r"how (?:many|long)\s+(?:days?|weeks?|months?|years?|hours?)?\s*(?:ago|(?:have\s+)?passed\s*(?:since|between)?|since|between)",
+    r"most recent(?:ly)?", r"first time", r"last time", r"\bearliest\b",
+    r"last (?:week|weekend|month|year|day)\b", r"this (?:week|month|year)\b", r"in the (?:last|past) \w+", r"since the start of", r"a few (?:days|weeks|months) ago", r"\brecently\b",
+)
+
+
+def quoted(x: str) -> str:
+    """A pattern inside an SQL string."""
+    return x.replace("'", "\\x27")
+
+
+def unique(d: Spark, source: str, keep: str, a: str, most: int, out: str = "items") -> list[tuple[str, str]]:
+    """Steps to rows (keep, items): a's values without white space and signs around them, each once whatever its case, most at most."""
+    bare = d.sub(d.sub("v", r"[ \t\n\r]+", " "), quoted(r"^[ .,;:!?()\[\]{}\x22\x27]+|[ .,;:!?()\[\]{}\x22\x27]+$"), "")
+    return [(f"{out}_bare", f"SELECT {keep}, {d.keep(d.each(a, bare), 'v <> ' + chr(39) * 2)} AS a FROM {source}"), (f"{out}_lower", f"SELECT {keep}, a, {d.each('a', 'lower(v)')} AS l FROM {out}_bare"),
+        (out, f"SELECT {keep}, {d.cut(d.keep('a', f'{d.at(chr(108), "lower(v)")} = @i'), most)} AS {out} FROM {out}_lower")]
+
+
+def times(d: Spark, x: str) -> str:
+    month = "(?:" + "|".join(MONTHS) + ")"
+    patterns = (r"\b\d{1,2}:\d{2}\s*(?:am|pm|AM|PM)?\b", rf"(?i)\b\d{{1,2}}\s+{month},?\s+(?:19|20)\d{{2}}\b", rf"(?i)\b{month}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+(?:19|20)\d{{2}}\b", DATE, r"\b(?:19|20)\d{2}\b")
+    return d.cat(*(d.found(x, p) for p in patterns))
+
+
+def entities(d: Spark, x: str) -> str:
+    return d.found(x, r"\b[A-Z][a-zA-Z0-9_-]{2,}(?:\s+[A-Z][a-zA-Z0-9_-]{2,})?\b")
+
+
+def events(d: Spark, x: str) -> str:
+    """Up to four words before a head, without who did what in front."""
+    did = "(?:attended|joined|went to|visited|started|took|had|saw|did)"
+    found = d.cat(*(d.found(x, quoted(rf"(?i)\b((?:[A-Za-z0-9+'-]+\s+){{0,4}}{h})\b"), 1) for h in EVENT_HEADS))
+    for p in (rf"(?i)^(?:i|we|he|she|they|you)\s+{did}\s+", rf"(?i)^{did}\s+", r"(?i)^the\s+"):
+        found = d.each(found, d.sub("v", p, ""))
+    return found

@@ -85,29 +85,49 @@ def static(d: Spark) -> list[Step]:
     return fused(d, d.n(SEMANTIC), d.n(LEXICAL), d.n(RECENCY))
 
 
+def layers(d: Spark) -> list[Step]:
+    """Cosines of every query with the nodes of its sample in all three layers that can be among its eight best ones.
+
+    Episodes and topics have the sums of their turns' vectors. A node without a bucket in common has
+    the cosine 0; of those only the first eight of a layer can be needed.
+    """
+    return [*static(d), *tables.episodes(d),
+        ("layer_vectors", """SELECT 'turn' AS layer, sample_id, ord AS id, b, c FROM doc_vectors UNION ALL SELECT 'episode', v.sample_id, p.episode_id, v.b, sum(v.c) FROM doc_vectors v JOIN placed p ON v.ord = p.ord GROUP BY v.sample_id, p.episode_id, v.b
+        UNION ALL SELECT 'topic', v.sample_id, p.topic_id, v.b, sum(v.c) FROM doc_vectors v JOIN placed p ON v.ord = p.ord GROUP BY v.sample_id, p.topic_id, v.b"""),
+        ("layer_norms", f"SELECT layer, sample_id, id, sqrt({d.dbl('sum(c * c)')}) AS norm FROM layer_vectors GROUP BY layer, sample_id, id"),
+        ("layer_dots", f"SELECT v.layer, q.qid, q.query_ord, v.id, {d.dbl('sum(q.c * v.c)')} AS dot FROM query_vectors q JOIN layer_vectors v ON q.sample_id = v.sample_id AND q.b = v.b GROUP BY v.layer, q.qid, q.query_ord, v.id"),
+        ("layer_firsts", "SELECT * FROM (SELECT layer, sample_id, id, row_number() OVER (PARTITION BY layer, sample_id ORDER BY id) AS nth FROM layer_norms) x WHERE nth <= 8"),
+        ("layer_raw", f"""SELECT layer, qid, query_ord, id, max(raw) AS raw FROM (SELECT c.layer, c.qid, c.query_ord, c.id, c.dot / (n.norm * m.norm) AS raw FROM layer_dots c JOIN layer_norms n ON c.layer = n.layer AND c.id = n.id JOIN query_norms m ON c.qid = m.qid AND c.query_ord = m.query_ord
+        UNION ALL SELECT f.layer, q.qid, q.query_ord, f.id, {d.n(0.0)} FROM queries q JOIN layer_firsts f ON q.sample_id = f.sample_id) x GROUP BY layer, qid, query_ord, id""")]
+
+
 def uncertainty(d: Spark) -> list[Step]:
-    """Margin, entropy and concentration of a query's eight best cosines, and what they say together."""
-    return [*static(d),
-        ("probe", "SELECT qid, query_ord, ord, raw, row_number() OVER (PARTITION BY qid, query_ord ORDER BY round(raw, 9) DESC, ord) AS k FROM parts"),
-        ("top8", "SELECT *, max(raw) OVER (PARTITION BY qid, query_ord) AS best FROM probe WHERE k <= 8"),
+    """Margin, entropy and concentration of a query's eight best cosines in each layer, and what they say together."""
+    over = "PARTITION BY layer, qid, query_ord"
+    return [*layers(d),
+        ("probe", f"SELECT layer, qid, query_ord, id, raw, row_number() OVER ({over} ORDER BY round(raw, 9) DESC, id) AS k FROM layer_raw"),
+        ("top8", f"SELECT *, max(raw) OVER ({over}) AS best FROM probe WHERE k <= 8"),
         ("soft", f"SELECT *, exp(greatest({d.n(-30.0)}, least({d.n(30.0)}, (raw - best) / {d.n(0.08)}))) AS e FROM top8"),
-        ("shares", "SELECT *, e / sum(e) OVER (PARTITION BY qid, query_ord) AS p FROM soft"),
-        ("spread", f"""SELECT qid, query_ord, count(*) AS n, CASE WHEN count(*) > 1 THEN least({d.n(1.0)}, greatest({d.n(0.0)}, (max(raw) - max(CASE WHEN k = 2 THEN raw END)) / {d.n(0.08)})) ELSE {d.n(1.0)} END AS margin,
-        CASE WHEN count(*) > 1 THEN -sum(p * ln(p + {d.n(1e-12)})) / ln({d.dbl('count(*)')}) ELSE {d.n(0.0)} END AS entropy, max(CASE WHEN k = 1 THEN p END) AS concentration FROM shares GROUP BY qid, query_ord"""),
-        ("uncertainty", f"""SELECT qid, query_ord, margin, least({d.n(1.0)}, greatest({d.n(0.0)}, entropy)) AS entropy, concentration,
+        ("shares", f"SELECT *, e / sum(e) OVER ({over}) AS p FROM soft"),
+        ("spread", f"""SELECT layer, qid, query_ord, count(*) AS n, CASE WHEN count(*) > 1 THEN least({d.n(1.0)}, greatest({d.n(0.0)}, (max(raw) - max(CASE WHEN k = 2 THEN raw END)) / {d.n(0.08)})) ELSE {d.n(1.0)} END AS margin,
+        CASE WHEN count(*) > 1 THEN -sum(p * ln(p + {d.n(1e-12)})) / ln({d.dbl('count(*)')}) ELSE {d.n(0.0)} END AS entropy, max(CASE WHEN k = 1 THEN p END) AS concentration FROM shares GROUP BY layer, qid, query_ord"""),
+        ("uncertainty", f"""SELECT layer, qid, query_ord, margin, least({d.n(1.0)}, greatest({d.n(0.0)}, entropy)) AS entropy, concentration,
         least({d.n(1.0)}, greatest({d.n(0.0)}, {d.n(0.45)} * (1 - margin) + {d.n(0.35)} * entropy + {d.n(0.20)} * (1 - concentration))) AS uncertainty FROM spread""")]
 
 
 def agreement(d: Spark) -> list[Step]:
-    """Mean Jaccard similarity of the five best notes of a question's queries, pair by pair."""
-    return [*uncertainty(d), ("top5", f"SELECT qid, query_ord, {d.collected('ord')} AS ids FROM top8 WHERE k <= 5 GROUP BY qid, query_ord"),
-        ("agreement", f"SELECT a.qid, avg({d.dbl(d.common('a.ids', 'b.ids'))} / {d.either('a.ids', 'b.ids')}) AS agreement FROM top5 a JOIN top5 b ON a.qid = b.qid AND a.query_ord < b.query_ord GROUP BY a.qid")]
+    """Mean Jaccard similarity of the five best nodes of a question's queries in each layer, pair by pair; 1 for a single query."""
+    return [*uncertainty(d), ("top5", f"SELECT layer, qid, query_ord, {d.collected('id')} AS ids FROM top8 WHERE k <= 5 GROUP BY layer, qid, query_ord"),
+        ("agreement", f"SELECT a.layer, a.qid, coalesce(avg(CASE WHEN b.qid IS NOT NULL THEN {d.dbl(d.common('a.ids', 'b.ids'))} / {d.either('a.ids', 'b.ids')} END), {d.n(1.0)}) AS agreement FROM top5 a LEFT JOIN top5 b ON a.layer = b.layer AND a.qid = b.qid AND a.query_ord < b.query_ord GROUP BY a.layer, a.qid")]
 
 
 def budget(d: Spark) -> list[Step]:
-    """A question's tier, its budget multiplier and its limits, from uncertainty and disagreement."""
-    return [*agreement(d), ("mean_u", "SELECT qid, avg(uncertainty) AS u, max(uncertainty) AS max_u, avg(margin) AS margin, avg(entropy) AS entropy, avg(concentration) AS concentration FROM uncertainty GROUP BY qid"),
-        ("routed", f"SELECT m.*, a.agreement, least({d.n(1.0)}, greatest({d.n(0.0)}, {d.n(0.8)} * u + {d.n(0.2)} * (1 - a.agreement))) AS routing FROM mean_u m JOIN agreement a ON m.qid = a.qid"),
+    """A question's tier, its budget multiplier and its limits, from the uncertainty and disagreement of the three layers."""
+    of = lambda layer: f"max(CASE WHEN layer = '{layer}' THEN u END)"
+    return [*agreement(d), ("layer_stats", "SELECT u.layer, u.qid, avg(uncertainty) AS u, max(uncertainty) AS max_u, avg(margin) AS margin, avg(entropy) AS entropy, avg(concentration) AS concentration FROM uncertainty u GROUP BY u.layer, u.qid"),
+        ("mean_u", f"SELECT qid, {d.n(0.25)} * {of('topic')} + {d.n(0.30)} * {of('episode')} + {d.n(0.45)} * {of('turn')} AS u, max(max_u) AS max_u, {of('turn')} - {d.n(0.5)} * ({of('topic')} + {of('episode')}) AS gap FROM layer_stats GROUP BY qid"),
+        ("agreed", "SELECT qid, avg(agreement) AS agreement FROM agreement GROUP BY qid"),
+        ("routed", f"SELECT m.*, a.agreement, least({d.n(1.0)}, greatest({d.n(0.0)}, {d.n(0.8)} * u + {d.n(0.2)} * (1 - a.agreement))) AS routing FROM mean_u m JOIN agreed a ON m.qid = a.qid"),
         ("tiers", f"SELECT *, CASE WHEN round(routing, 9) < {d.n(0.4)} THEN 'low' WHEN round(routing, 9) >= {d.n(0.7)} THEN 'high' ELSE 'mid' END AS tier FROM routed"),
         ("budget", f"""SELECT *, CASE tier WHEN 'low' THEN {d.n(0.8)} WHEN 'high' THEN {d.n(1.55)} ELSE {d.n(1.0)} END AS mult, CASE tier WHEN 'low' THEN {d.n(0.0)} WHEN 'high' THEN {d.n(1.0)} ELSE {d.n(0.5)} END AS complexity FROM tiers"""),
         ("limits", f"""SELECT *, {d.long(f'ceil(round(1 * mult, 9))')} AS topics, {d.long('ceil(round(3 * mult, 9))')} AS episodes, {d.long('ceil(round(5 * mult, 9))')} AS turns,
@@ -116,10 +136,11 @@ def budget(d: Spark) -> list[Step]:
 
 
 def fusion_weights(d: Spark) -> list[Step]:
-    """Weights of the three scores that follow a question's complexity, disagreement and uncertainty half-way."""
+    """Weights of the three scores that follow a question's complexity, disagreement, uncertainty and turn focus part of the way."""
     t = "CASE WHEN qid % 2 = 0 THEN 1 ELSE 0 END"
     floor = lambda x: f"greatest({x}, {d.n(0.01)})"
-    return [*budget(d), ("shifts", f"SELECT qid, {d.n(0.12)} * complexity + {d.n(0.10)} * (1 - agreement) + {d.n(0.06)} * u - {d.n(0.08)} * {t} AS s1, {d.n(-0.04)} * complexity + {d.n(0.07)} * agreement + {d.n(0.04)} * {t} AS s2, {d.n(-0.03)} * complexity + {d.n(0.04)} * u + {d.n(0.14)} * {t} AS s3 FROM budget"),
+    focus = f"least({d.n(1.0)}, greatest({d.n(0.0)}, gap) / {d.n(0.30)})"
+    return [*budget(d), ("shifts", f"SELECT qid, {d.n(0.12)} * complexity + {d.n(0.10)} * (1 - agreement) + {d.n(0.06)} * u - {d.n(0.08)} * {t} AS s1, {d.n(-0.04)} * complexity + {d.n(0.07)} * agreement + {d.n(0.04)} * {t} AS s2, {d.n(-0.03)} * complexity + {d.n(0.04)} * u + {d.n(0.14)} * {t} + {d.n(0.10)} * {focus} AS s3 FROM budget"),
         ("aims", f"SELECT qid, {floor(f'{d.n(SEMANTIC)} + s1')} AS a1, {floor(f'{d.n(LEXICAL)} + s2')} AS a2, {floor(f'{d.n(RECENCY)} + s3')} AS a3 FROM shifts"),
         ("blended", f"SELECT qid, {floor(f'{d.n(0.65)} * {d.n(SEMANTIC)} + {d.n(0.35)} * a1 / (a1 + a2 + a3)')} AS b1, {floor(f'{d.n(0.65)} * {d.n(LEXICAL)} + {d.n(0.35)} * a2 / (a1 + a2 + a3)')} AS b2, {floor(f'{d.n(0.65)} * {d.n(RECENCY)} + {d.n(0.35)} * a3 / (a1 + a2 + a3)')} AS b3 FROM aims"),
         ("fusion", "SELECT qid, b1 / (b1 + b2 + b3) AS w1, b2 / (b1 + b2 + b3) AS w2, b3 / (b1 + b2 + b3) AS w3 FROM blended")]

@@ -21,7 +21,7 @@ from .dialect import Duck, Spark, plan, with_steps
 Plan = Callable[[Spark], str]
 PLANS: dict[str, Plan] = {}
 #: Steps that several later ones read: they are written once, to the folder that all executors share.
-SHARED = ("docs", "postings", "parts", "ranked", "placed", "episodes", "summed", "boosted", "memories", "found", "top8", "budget", "limits2", "ev", "metrics", "votes")
+SHARED = ("docs", "postings", "parts", "ranked", "placed", "episodes", "summed", "boosted", "memories", "found", "top8", "budget", "limits2", "ev", "metrics", "votes", "layer_raw", "merged_x", "sufficient")
 TABLES = ("conversations", "benchmark", "documents", "labels", "events", "embeddings")
 
 
@@ -47,7 +47,7 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     steps, used = dict(sql.steps), sql
     for i, step in enumerate(steps):
         later = " ".join([*list(steps.values())[i + 1 :], sql.final])
-        if step in SHARED and len(re.findall(rf"\b{step}\b", later)) > 1:
+        if re.sub("_[xmv]$", "", step) in SHARED and len(re.findall(rf"\b{step}\b", later)) > 1:
             before = dict(list(steps.items())[: i + 1])
             view = f"{prefix}{step}_{uuid.uuid4().hex[:8]}"
             _written(spark.sql(with_steps(before, f"SELECT * FROM {step}")), view).createOrReplaceTempView(view)
@@ -108,28 +108,12 @@ def anchor_terms(d: Spark) -> str:
         final=f"SELECT doc_id, {d.joined(d.cut(d.keep('a', f'{d.at(chr(98), "lower(v)")} = @i'), 16), '|')} AS terms FROM l")
 
 
-@named
-def time_anchors(d: Spark) -> str:
-    x = text.ascii_only(d, "text")
-    month = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-    parts = d.cat(*(d.found(x, p) for p in (r"\b\d{1,2}:\d{2}(?: ?[aApP][mM])?\b", rf"\b\d{{1,2}} {month},? \d{{4}}\b", rf"\b{month} \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}\b", text.DATE, r"\b(?:19|20)\d{2}\b")))
-    return plan(("t", f"SELECT doc_id, {parts} AS a FROM {d.table('documents')}"), final=f"SELECT doc_id, {d.joined(d.cut(text.ordered_distinct(d, 'a'), 12), '|')} AS times FROM t")
-
-
-@named
-def entity_anchors(d: Spark) -> str:
-    x = text.ascii_only(d, "text")
-    stops = "'the', 'this', 'that', 'what', 'when', 'where', 'who'"
-    return plan(*tables.turns(d), ("t", f"SELECT ord, {d.cat(d.array('speaker'), d.found(x, r'\b[A-Z][a-z]+(?: [A-Z][a-z]+)?\b'))} AS a FROM turns"), ("u", f"SELECT ord, {d.cut(text.ordered_distinct(d, 'a'), 16)} AS a FROM t"),
-        final=f"SELECT ord, {d.joined(d.keep('a', f'lower(v) NOT IN ({stops})'), '|')} AS entities FROM u")
-
-
 @named
 def merged_anchors(d: Spark) -> str:
     """A session's anchors: its turns' ones in order, each once, twenty-four at most."""
     x = text.ascii_only(d, "text")
     return plan(*tables.turns(d), ("t", d.explode("session_id, turn_idx", d.found(x, r"\b[A-Z][a-z]+\b"), "turns")),
-        ("f", "SELECT session_id, x, min(turn_idx * 100000 + pos) AS place FROM t GROUP BY session_id, x"), ("k", "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS nth FROM f"),
+        ("f", f"SELECT session_id, x, min(turn_idx * {tables.WIDE} + pos) AS place FROM t GROUP BY session_id, x"), ("k", "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS nth FROM f"),
         final=f"SELECT session_id, {d.listed('x', '|', 'nth')} AS anchors, count(*) AS n FROM k WHERE nth <= 24 GROUP BY session_id")
 
 
@@ -233,12 +217,15 @@ def episode_distance(d: Spark) -> str:
 
 @named
 def best_topic_match(d: Spark) -> str:
-    """The topic that an episode is closest to, by cosine, if it is close enough."""
+    """The topic that an episode fits best, by cosine and words in common, if it has one of them and fits well enough."""
+    words = f"SELECT p.{{0}}, {d.uniq(d.flat(d.gathered(text.token_set(d, 't.doc', 2))))} AS w FROM docs t JOIN placed p ON t.ord = p.ord GROUP BY p.{{0}}"
     return plan(*_episode_vectors(d), ("tv", "SELECT sample_id, topic_id, b, sum(c) AS c FROM ev GROUP BY sample_id, topic_id, b"), ("tn", f"SELECT topic_id, sqrt({d.dbl('sum(c * c)')}) AS norm FROM tv GROUP BY topic_id"),
+        ("ew", words.format("episode_id")), ("tw", words.format("topic_id")),
         ("dt", f"SELECT x.episode_id, y.topic_id, {d.dbl('sum(x.c * y.c)')} AS dot FROM ev x JOIN tv y ON x.sample_id = y.sample_id AND x.b = y.b GROUP BY x.episode_id, y.topic_id"),
-        ("sc", "SELECT dt.episode_id, dt.topic_id, dot / (n.norm * m.norm) AS s FROM dt JOIN en n ON dt.episode_id = n.episode_id JOIN tn m ON dt.topic_id = m.topic_id"),
-        ("rk", "SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY round(s, 9) DESC, topic_id) AS k FROM sc"),
-        final=f"SELECT {d.long('episode_id')} AS episode_id, topic_id, {_r('s', 'score')} FROM rk WHERE k = 1 AND s >= {d.n(0.62)}")
+        ("sc", f"SELECT dt.episode_id, dt.topic_id, dot / (n.norm * m.norm) AS cosine, {d.common('e.w', 't.w')} AS overlap, {d.either('e.w', 't.w')} AS of_all FROM dt JOIN en n ON dt.episode_id = n.episode_id JOIN tn m ON dt.topic_id = m.topic_id JOIN ew e ON dt.episode_id = e.episode_id JOIN tw t ON dt.topic_id = t.topic_id"),
+        ("sf", f"SELECT *, cosine + {d.n(0.03)} * overlap + {d.n(0.08)} * overlap / greatest(1, of_all) AS s FROM sc WHERE overlap >= 1"),
+        ("rk", "SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY round(s, 9) DESC, topic_id) AS k FROM sf"),
+        final=f"SELECT {d.long('episode_id')} AS episode_id, topic_id, {_r('s', 'score')}, overlap FROM rk WHERE k = 1 AND s >= {d.n(0.62)}")
 
 
 @named
@@ -278,17 +265,36 @@ def hybrid_topk_static(d: Spark) -> str:
 
 @named
 def score_uncertainty(d: Spark) -> str:
-    return plan(*ret.uncertainty(d), final=f"SELECT qid, query_ord, {_r('margin', 'margin')}, {_r('entropy', 'entropy')}, {_r('concentration', 'concentration')}, {_r('uncertainty', 'uncertainty')} FROM uncertainty")
+    return plan(*ret.uncertainty(d), final=f"SELECT layer, qid, query_ord, {_r('margin', 'margin')}, {_r('entropy', 'entropy')}, {_r('concentration', 'concentration')}, {_r('uncertainty', 'uncertainty')} FROM uncertainty")
 
 
 @named
 def query_agreement(d: Spark) -> str:
-    return plan(*ret.agreement(d), final=f"SELECT qid, {_r('agreement', 'agreement')} FROM agreement")
+    return plan(*ret.agreement(d), final=f"SELECT layer, qid, {_r('agreement', 'agreement')} FROM agreement")
 
 
 @named
 def budget_profile(d: Spark) -> str:
-    return plan(*ret.budget(d), final=f"SELECT qid, {_r('u', 'mean_uncertainty')}, {_r('max_u', 'max_uncertainty')}, {_r('agreement', 'agreement')}, {_r('routing', 'routing')}, tier, mult FROM budget")
+    return plan(*ret.budget(d), final=f"SELECT qid, {_r('u', 'mean_uncertainty')}, {_r('max_u', 'max_uncertainty')}, {_r('gap', 'turn_focus')}, {_r('agreement', 'agreement')}, {_r('routing', 'routing')}, tier, mult FROM budget")
+
+
+@named
+def layer_statistics(d: Spark) -> str:
+    """Means and the maximum of a question's uncertainty in each layer."""
+    return plan(*ret.budget(d), final=f"SELECT layer, qid, {_r('u', 'uncertainty')}, {_r('max_u', 'max_uncertainty')}, {_r('margin', 'margin')}, {_r('entropy', 'entropy')}, {_r('concentration', 'concentration')} FROM layer_stats")
+
+
+@named
+def routing_record(d: Spark) -> str:
+    """What a question's routing has decided, beside the fixed profile that holds without routing."""
+    return plan(*ret.budget(d), final=f"SELECT qid, tier, mult, {_r('routing', 'routing')}, topics, episodes, turns, cand_topics, cand_episodes, kept_turns, 'fixed' AS fixed_tier, {d.n(1.0)} AS fixed_mult, {d.long('1')} AS fixed_topics, {d.long('3')} AS fixed_episodes, {d.long('5')} AS fixed_turns FROM limits2")
+
+
+@named
+def query_plan(d: Spark) -> str:
+    """The query lists of a question that need no model."""
+    lists = " UNION ALL ".join(f"SELECT qid, {i} AS place, '{kind}' AS kind, trim({q}) AS query FROM plans" for i, (kind, q) in enumerate([*(("search", q) for q in evi.EXPANDED), *(("verify", q) for q in evi.VERIFYING)]))
+    return plan(*evi.planned(d), final=f"SELECT qid, kind, place, query FROM ({lists}) x WHERE query <> ''")
 
 
 @named
@@ -340,7 +346,7 @@ def sufficiency(d: Spark) -> str:
 
 @named
 def escalated_merge(d: Spark) -> str:
-    return plan(*evi.merged(d), final=f"SELECT qid, layer, {d.long('id')} AS id, pass, {_r('s', 'score')}, rnk FROM merged WHERE rnk <= 5")
+    return plan(*evi.merged(d), final=f"SELECT qid, layer, {d.long('id')} AS id, pass, {_r('s', 'score')}, rnk FROM merged")
 
 
 @named
@@ -404,27 +410,6 @@ def answer_lengths(d: Spark) -> str:
     return plan(*ev.pairs(d), final=f"SELECT kind, {d.long('sum(length(trim(pred)))')} AS pred_total, {_r('avg(length(trim(pred)))', 'pred_mean')}, {d.long('sum(length(trim(ref)))')} AS ref_total, {_r(f'CASE WHEN sum(length(trim(ref))) = 0 THEN NULL ELSE {d.dbl("sum(length(trim(pred)))")} / sum(length(trim(ref))) END', 'ratio')} FROM pairs GROUP BY kind")
 
 
-@named
-def token_ledger(d: Spark) -> str:
-    return plan(*tables.turns(d), ("t", f"SELECT speaker AS phase, {text.estimate(d, 'text')} AS n FROM turns"), final=f"SELECT phase, count(*) AS calls, {d.long('sum(greatest(0, coalesce(n, 0)))')} AS tokens FROM t GROUP BY phase")
-
-
-@named
-def failure_buckets(d: Spark) -> str:
-    message = "CASE event_id % 5 WHEN 0 THEN 'maximum input length is 8192 tokens' WHEN 1 THEN 'HTTP 429: rate limit' WHEN 2 THEN 'request timeout' WHEN 3 THEN 'connection reset' ELSE concat('ValueError: bad value ', event_id) END"
-    return plan(("m", f"SELECT lower({message}) AS m, {message} AS raw FROM {d.table('events')}"),
-        ("b", f"SELECT CASE WHEN m LIKE '%8192%' OR m LIKE '%maximum input length%' THEN 'embedding_too_long' WHEN m LIKE '%429%' OR m LIKE '%rate%' THEN 'rate_limit' WHEN m LIKE '%timeout%' OR m LIKE '%timed out%' THEN 'timeout' WHEN m LIKE '%connection%' THEN 'connection' ELSE {d.first('raw', '^([^:]*)')} END AS bucket FROM m"),
-        final="SELECT bucket, count(*) AS n FROM b GROUP BY bucket")
-
-
-@named
-def reuse_guard(d: Spark) -> str:
-    """The first rule that keeps a stored result from being used again."""
-    return plan(("s", f"SELECT doc_id, lang, source, n_chars, doc_id % 12 AS k FROM {d.table('documents')}"),
-        ("g", "SELECT doc_id, CASE WHEN k = 0 THEN 'missing' WHEN k = 1 THEN 'benchmark' WHEN k = 2 THEN 'question' WHEN k = 3 THEN 'question_date' WHEN k = 4 THEN 'reference' WHEN k = 5 THEN 'model' WHEN k = 6 THEN 'prompt_mode' WHEN k = 7 THEN 'memory_config' WHEN k = 8 THEN 'empty_prediction' WHEN k = 9 THEN 'judge' END AS reason FROM s"),
-        final="SELECT coalesce(reason, 'ok') AS reason, count(*) AS n, sum(CASE WHEN reason IS NULL OR reason = 'judge' THEN 1 ELSE 0 END) AS answer_ok, sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS judge_ok FROM g GROUP BY coalesce(reason, 'ok')")
-
-
 @named
 def last_result_wins(d: Spark) -> str:
     return plan(("s", f"SELECT doc_id % 97 AS qid, doc_id AS pos, source FROM {d.table('documents')}"), ("k", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos DESC) AS nth FROM s"), final="SELECT qid, pos, source FROM k WHERE nth = 1")
@@ -445,17 +430,3 @@ def evidence_suffix_join(d: Spark) -> str:
         final=f"SELECT t.dia_id, s.evidence FROM s JOIN turns t ON s.session_id = t.session_id AND {ends}(t.dia_id, s.tail)")
 
 
-@named
-def judge_labels(d: Spark) -> str:
-    """Lenient and strict readings of a judge's reply."""
-    reply = "CASE doc_id % 5 WHEN 0 THEN '{\"label\": \"CORRECT\"}' WHEN 1 THEN 'The answer is WRONG.' WHEN 2 THEN 'CORRECT or WRONG' WHEN 3 THEN '{\"label\": \"wrong\"}' ELSE 'correct' END"
-    return plan(("r", f"SELECT doc_id, {reply} AS reply FROM {d.table('labels')}"), ("j", f"SELECT doc_id, upper(reply) AS u, CASE WHEN {d.like('reply', '^[{]')} THEN upper({d.json('reply', 'label')}) END AS label FROM r"),
-        final="SELECT doc_id, CASE WHEN label IN ('CORRECT', 'WRONG') THEN label END AS strict, CASE WHEN label IS NOT NULL THEN label = 'CORRECT' WHEN u LIKE '%CORRECT%' AND u NOT LIKE '%WRONG%' THEN true ELSE false END AS lenient FROM j")
-
-
-@named
-def final_answer_text(d: Spark) -> str:
-    """What follows the last marker of a reasoned answer, without a leading label or quotes."""
-    last = "list_extract(string_split(reply, 'FINAL ANSWER'), -1)" if d.name == "duckdb" else "substring_index(reply, 'FINAL ANSWER', -1)"
-    return plan(("r", f"SELECT doc_id, concat('## STEP 7: FINAL ANSWER draft ', doc_id, ' ## STEP 7: FINAL ANSWER', ' answer: \"', source, '\"') AS reply FROM {d.table('documents')}"),
-        final=f"SELECT doc_id, trim({d.sub(d.sub(f'trim({last})', '^answer:', ''), '[\"]', '')}) AS answer FROM r")

@@ -91,6 +91,31 @@ class Spark:
     def listed(self, x: str, sep: str, order: str) -> str:
         return f"listagg({x}, '{sep}') WITHIN GROUP (ORDER BY {order})"
 
+    def lines(self, x: str, order: str) -> str:
+        return f"listagg({x}, '\\n') WITHIN GROUP (ORDER BY {order})"
+
+    def cut_at(self, x: str, sep: str) -> str:
+        """Parts between single characters sep."""
+        return f"split({x}, '[{sep}]', -1)"
+
+    def cut_lines(self, x: str) -> str:
+        return f"split({x}, '\\n', -1)"
+
+    def flat(self, a: str) -> str:
+        return f"flatten({a})"
+
+    def after_last(self, x: str, mark: str) -> str:
+        return f"substring_index({x}, '{mark}', -1)"
+
+    def any(self, a: str, cond: str) -> str:
+        return f"exists({a}, v -> {cond})"
+
+    def inside(self, x: str, part: str) -> str:
+        return f"contains({x}, {part})"
+
+    def gathered(self, x: str) -> str:
+        return f"collect_list({x})"
+
     def collected(self, x: str) -> str:
         return f"array_sort(collect_set({x}))"
 
@@ -179,6 +204,30 @@ class Duck(Spark):
     def listed(self, x: str, sep: str, order: str) -> str:
         return f"string_agg({x}, '{sep}' ORDER BY {order})"
 
+    def lines(self, x: str, order: str) -> str:
+        return f"string_agg({x}, chr(10) ORDER BY {order})"
+
+    def cut_at(self, x: str, sep: str) -> str:
+        return f"string_split({x}, '{sep}')"
+
+    def cut_lines(self, x: str) -> str:
+        return f"string_split({x}, chr(10))"
+
+    def flat(self, a: str) -> str:
+        return f"flatten({a})"
+
+    def after_last(self, x: str, mark: str) -> str:
+        return f"list_extract(string_split({x}, '{mark}'), -1)"
+
+    def any(self, a: str, cond: str) -> str:
+        return f"len(list_filter({a}, lambda v: {cond})) > 0"
+
+    def inside(self, x: str, part: str) -> str:
+        return f"contains({x}, {part})"
+
+    def gathered(self, x: str) -> str:
+        return f"list({x})"
+
     def collected(self, x: str) -> str:
         return f"list_sort(list(DISTINCT {x}))"
 
@@ -192,7 +241,7 @@ class Duck(Spark):
         return f"substr({x}, 1, {n})"
 
     def json(self, x: str, key: str) -> str:
-        return f"json_extract_string({x}, '$.{key}')"
+        return f"CASE WHEN json_valid({x}) THEN json_extract_string({x}, '$.{key}') END"
 
     def half_even(self, x: str) -> str:
         return f"round_even({x}, 0)"

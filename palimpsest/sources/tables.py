@@ -6,13 +6,15 @@ from ..functions import text
 from ..plans.dialect import Spark
 
 Step = tuple[str, str]
+#: Turns of a session and segments of a session have numbers below WIDE, which makes (session, number) one key.
+WIDE = 1 << 32
 #: Tokens at each end of a question that make its second and third query.
 QUERY_TOKENS = 8
 
 
 def turns(d: Spark) -> list[Step]:
     """Ten conversations share a memory; the id of a turn is its session's and its place in it."""
-    return [("turns", f"""SELECT {d.div('conv_id', '10')} AS sample_id, conv_id AS session_id, conv_id % 10 AS session_ord, turn AS turn_idx, conv_id * 100 + turn AS ord,
+    return [("turns", f"""SELECT {d.div('conv_id', '10')} AS sample_id, conv_id AS session_id, conv_id % 10 AS session_ord, turn AS turn_idx, conv_id * {WIDE} + turn AS ord,
         concat(conv_id, '_', turn + 1) AS dia_id, role AS speaker, coalesce(text, '') AS text, concat('Speaker ', role, ' says: ', coalesce(text, '')) AS content, {d.day('conv_id')} AS ts_raw
         FROM {d.table('conversations')}""")]
 
@@ -50,6 +52,6 @@ def queries(d: Spark) -> list[Step]:
 def episodes(d: Spark) -> list[Step]:
     """Segments of four turns; a segment is an episode, and three topics take a sample's sessions in turn."""
     return [*turns(d), ("segments", f"SELECT *, sum(CASE WHEN turn_idx % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS segment FROM turns"),
-        ("placed", f"SELECT *, session_id * 100 + segment AS episode_id, sample_id * 10 + session_ord % 3 AS topic_id, row_number() OVER (PARTITION BY session_id, segment ORDER BY turn_idx) - 1 AS pos FROM segments"),
+        ("placed", f"SELECT *, session_id * {WIDE} + segment AS episode_id, sample_id * 10 + session_ord % 3 AS topic_id, row_number() OVER (PARTITION BY session_id, segment ORDER BY turn_idx) - 1 AS pos FROM segments"),
         ("episode_rows", "SELECT DISTINCT sample_id, topic_id, episode_id, session_id, segment, ts_raw FROM placed"),
         ("episodes", "SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY episode_id) - 1 AS pos, row_number() OVER (PARTITION BY session_id ORDER BY segment) AS nth, count(*) OVER (PARTITION BY session_id) AS of_all FROM episode_rows")]

@@ -134,3 +134,82 @@ def test_stream_equals_batch(spark, tmp_path):
     got = ingest.closed_sessions(spark, str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0]["n"] == 3 and got[0]["contents"][0] == "Speaker u says: t0"
     assert ingest.due_for_reclustering(20, 4) and not ingest.due_for_reclustering(19, 4)
+
+
+def _tables(spark, tmp_path, turns, benchmark=((0, "What about w3?"),)):
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_long_conversations_keep_their_turns_apart(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [(c, t, "user", f"w{t} ~ tilde") for c, n in ((0, 120), (1, 30)) for t in range(n)])
+    docs = catalog.run(spark, sf, "turn_documents").collect()
+    assert len(docs) == 150 == len({r["ord"] for r in docs})
+    assert catalog.run(spark, sf, "session_segments").count() == 30 + 8
+    summaries = [r["summary"] for r in catalog.run(spark, sf, "episode_fallback_summary").collect()]
+    assert len(summaries) == 38 and all(x.count("~ tilde") == x.count("- user:") for x in summaries)
+    assert catalog.run(spark, sf, "layer_counts").filter("layer = 'turn'").first()["n"] == 150
+
+
+def _reference_agreement(tops):
+    pairs = [(a, b) for i, a in enumerate(tops) for b in tops[i + 1 :]]
+    return sum(len(a & b) / len(a | b) for a, b in pairs) / len(pairs) if pairs else 1.0
+
+
+def test_routing_by_hand(spark, tmp_path):
+    """Uncertainty, agreement and the tier of one question, from cosines that plain code computes."""
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    turns = [(c, t, "user", f"alpha{c} beta{t} gamma {'delta' * (t % 3)}") for c in range(3) for t in range(6)]
+    question = "alpha1 beta2 gamma delta one two three four five six seven"
+    sf = _tables(spark, tmp_path, turns, [(0, question)])
+    docs = {r["ord"]: r["doc"] for r in catalog.run(spark, sf, "turn_documents").collect()}
+    vector = lambda x: Counter(int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 256 for t in re.findall("[a-z0-9]+", x.lower()))
+    wide, nodes = 1 << 32, {"turn": {}, "episode": {}, "topic": {}}
+    for o, x in docs.items():
+        c, t = divmod(o, wide)
+        for layer, k in (("turn", o), ("episode", c * wide + t // 4), ("topic", c % 10 % 3)):
+            nodes[layer][k] = nodes[layer].get(k, Counter()) + vector(x)
+    tokens = re.findall("[a-z0-9]+", question.lower())
+    queries = [vector(question), vector(" ".join(tokens[:8])), vector(" ".join(tokens[-8:]))]
+    cos = lambda a, b: sum(a[k] * b[k] for k in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    u, agree = {}, []
+    for layer, own in nodes.items():
+        tops, us = [], []
+        for q in queries:
+            s = sorted(((-round(cos(q, v), 9), k) for k, v in own.items()))[:8]
+            x = [cos(q, own[k]) for _, k in s]
+            e = [math.exp((y - x[0]) / 0.08) for y in x]
+            p = [y / sum(e) for y in e]
+            margin = min(1, (x[0] - x[1]) / 0.08)
+            entropy = -sum(y * math.log(y + 1e-12) for y in p) / math.log(len(p))
+            us.append(min(1, max(0, 0.45 * (1 - margin) + 0.35 * min(1, entropy) + 0.2 * (1 - p[0]))))
+            tops.append({k for _, k in s[:5]})
+        u[layer] = sum(us) / 3
+        agree.append(_reference_agreement(tops))
+    mean = 0.25 * u["topic"] + 0.30 * u["episode"] + 0.45 * u["turn"]
+    got = catalog.run(spark, sf, "budget_profile").first()
+    assert got["mean_uncertainty"] == pytest.approx(mean, abs=1e-5)
+    assert got["agreement"] == pytest.approx(sum(agree) / 3, abs=1e-5)
+    assert got["routing"] == pytest.approx(0.8 * mean + 0.2 * (1 - sum(agree) / 3), abs=1e-5)
+    assert got["turn_focus"] == pytest.approx(u["turn"] - 0.5 * (u["topic"] + u["episode"]), abs=1e-5)
+
+
+def test_guard_names_the_first_rule(spark):
+    rows = {r["question_id"]: r for r in catalog.run(spark, SF, "reuse_guard").collect()}
+    want = {0: "ok", 1: "question_mismatch", 2: "question_date_mismatch", 4: "reference_mismatch", 6: "model_mismatch", 11: "retrieve_k_mismatch", 17: "incomplete_prediction", 18: "incomplete_query_plan", 19: "incomplete_evidence", 20: "source_judge_disabled", 21: "incomplete_judge", 22: "judge_block_model_mismatch", 23: "no_source_record"}
+    for k, reason in want.items():
+        got = [r for q, r in rows.items() if q % 24 == k]
+        assert got and all(r["reason"] == reason for r in got)
+        assert all((r["answer_ok"], r["judge_ok"]) == ((1, 1) if reason == "ok" else (1, 0) if k in (20, 21, 22) else (0, 0)) for r in got)
+
+
+def test_fingerprint(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "f").write_bytes(b"abc")
+    assert state.fingerprint(spark, str(tmp_path / "f")) == hashlib.sha1(b"abc").hexdigest()[:12]

@@ -8,14 +8,18 @@ expectation-maximisation on a held-out part of the training documents, with esti
 other part; the scores then use the estimates from both. For learning, tokens whose estimates are
 within an eighth of a power of two of each other are put together, with their means.
 
-Only the FREQUENT most frequent words are sent to all tasks, as numbers. Pairs of the DENSE most
-frequent ones are counted in a table of that size; any other pair has less than 1 / DENSE of all
-tokens. Those of two frequent words go as arrays to the bucket of their number, which counts them
-and keeps their documents; those with a rarer word meet the table of counts and each other in
-joins on that word. What comes back is summed by document.
-
-Defined results: null text is empty: only the end token is scored. Documents without an id count as
-held out. Without training documents all counts are 0. Repeated rows count and are scored each.
+Only the most frequent words, FREQUENT at most, are sent to all tasks, as numbers. Pairs of the DENSE
+most frequent ones are counted in a table of that size; any other pair has less than 1 / DENSE of all
+tokens. All other pairs go, with the documents they come from, as packed arrays to the bucket of
+their number, of their rarer word's hash, or, if both words are rarer, of the first one's and then
+the second one's hash. A bucket has all occurrences of its pairs and rarer words, so it counts them
+by itself. What comes back is summed by document. Hashes have 64 bits; among a billion
+rarer words, two share one with a probability of 3 %.
+
+Defined results: null and empty texts: only the end token is scored. Documents without an id count as
+held out. Without training documents, and so in an empty table, all counts are 0. Repeated rows count
+and are scored each. Words of any length count by all of their bytes (beyond 64 by a digest of them),
+texts are read whole. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, ship
 
 FOLDS, TUNING_FOLD, ADD = 10, 1, 0.1
-DENSE, FREQUENT, BUCKETS, ROUNDS = 1024, 65_536, 40, 30
-#: Tokens of the training documents for each bucket of pairs, and tokens that a task holds before it passes them on.
-BUCKET_TOKENS, HELD_TOKENS = 1_000_000, 1_000_000
+DENSE, FREQUENT, BUCKETS, ROUNDS = 1024, 65_535, 40, 30
+#: Tokens of the training documents for each bucket of pairs, and tokens and documents that a task holds before it passes them on.
+BUCKET_TOKENS, HELD_TOKENS, HELD_DOCS = 1_000_000, 500_000, 16_000
 HELD_OUT, FIT, TUNE = 0, 1, 2
 #: Distinct words that a task counts before it passes them on.
 MOST_KEPT = 300_000
@@ -86,13 +91,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("tune").alias("tune"))
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int, int]]:
+    """Words (with n and tune) from the least count on that at most FREQUENT words reach."""
+    some = F.floor(F.log2("n") * 16).cast("int")
+    steps = sorted(((r[0], r[1]) for r in counts.groupBy(some).agg(F.count(F.lit(1))).collect()), reverse=True)
+    least, total = None, 0
+    for step, n in steps:
+        total += n
+        if total > FREQUENT:
+            break
+        least = step
+    rows = counts.filter((some >= least if least is not None else F.lit(False)) | (F.col("word") == F.lit(END))).collect()
+    return sorted(((bytes(r["word"]), int(r["n"]), int(r["tune"])) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
 class Words:
     """The frequent words' places in the order of their counts; the end token is the first, and as a context the start."""
 
     def __init__(self, rows: list[tuple[bytes, int, int]], tokens: int, tune_tokens: int, distinct: int, dense: int):
         self.tokens, self.fit_tokens, self.distinct = tokens, tokens - tune_tokens, distinct
         end = next((r for r in rows if r[0] == END), (END, 0, 0))
-        rows = [end, *(r for r in rows if r[0] != END)][:FREQUENT]
+        rows = [end, *(r for r in rows if r[0] != END)][:65_536]  # places have 16 bits
         self.place = {w: i for i, (w, _, _) in enumerate(rows)}
         self.count, self.tune = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
         self.dense = min(dense, len(rows))
@@ -104,9 +123,26 @@ class Words:
         return np.append(np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words)), 0)
 
 
-#: A row is a document, a pair with a rarer word (side: which words of it are rare) or an array of pairs.
-FIRST, SECOND, BOTH = 0, 1, 2
-_COLUMNS = (("row", pa.int64()), ("doc_id", None), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("dense", pa.binary()), ("side", pa.int32()), ("word", pa.binary()), ("context", pa.binary()), ("other", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("pairs", pa.binary()), ("rows", pa.binary()))
+#: Pairs of frequent words, with a rarer first or second word, of two rarer words.
+FREQUENT_PAIR, RARE_FIRST, RARE_SECOND, RARE_BOTH = 0, 1, 2, 3
+#: A row is a document, or pairs of a kind and bucket: their numbers or hashes, the other words, and whose each one is, counted from ``row``.
+_COLUMNS = (("row", pa.int64()), ("doc_id", None), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("dense", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("others", pa.binary()), ("rows", pa.binary()))
+_KEYS = ("<u4", "<u8", "<u8", "<u8")
+_OTHERS = (None, "<u2", "<u2", "<u8")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair."""
+    return _mixed(_mixed(a.astype(np.uint64)) + b.astype(np.uint64))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(keys.astype(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)
 
 
 def tokens(docs: DataFrame, sent) -> DataFrame:
@@ -118,25 +154,30 @@ def tokens(docs: DataFrame, sent) -> DataFrame:
 
         words: Words = sent.value
         log_count, at = np.log10(words.count + ADD), TaskContext.get().partitionId() << 36
-        held, n_held = [], 0
+        held: list[list[tuple]] = [[], [], [], []]
+        first, n_held = at, 0
 
         def rows(id_type, **columns):
             n = len(columns["row"])
             return pa.RecordBatch.from_arrays([pa.array(columns[k], t or id_type) if k in columns else pa.nulls(n, t or id_type) for k, t in _COLUMNS], [k for k, _ in _COLUMNS])
 
         def flush(id_type):
-            pairs, owner = np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), r, np.int64) for x, r in held])
-            bucket = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(words.buckets)
-            order = np.lexsort((pairs, bucket))
-            pairs, owner, bucket, first = pairs[order], owner[order], bucket[order], int(owner.min())
-            owner = (owner - first).astype("<u8")
-            which, start = np.unique(bucket, return_index=True)
-            stop = [*start[1:], len(pairs)]
-            held.clear()
-            return rows(id_type, row=[first] * len(which), bucket=which.astype(np.int32), pairs=[pairs[i:j].tobytes() for i, j in zip(start, stop, strict=True)], rows=[owner[i:j].tobytes() for i, j in zip(start, stop, strict=True)])
+            out = []
+            for k, parts in enumerate(held):
+                if not parts:
+                    continue
+                keys, others = (np.concatenate([p[i] for p in parts]) if parts[0][i] is not None else None for i in (0, 1))
+                owner = np.repeat(np.array([p[2] - (first << 2) for p in parts], "<u2"), [len(p[0]) for p in parts])
+                bucket = _bucket(keys, words.buckets)
+                order = np.lexsort((keys, bucket))
+                which, start = np.unique(bucket[order], return_index=True)
+                for b, part in zip(which.tolist(), np.split(order, start[1:]), strict=True):
+                    out.append((first << 2, k, b, keys[part].tobytes(), others[part].tobytes() if others is not None else None, owner[part].tobytes()))
+                parts.clear()
+            return rows(id_type, **dict(zip(("row", "kind", "bucket", "keys", "others", "rows"), zip(*out, strict=True), strict=True)))
 
         for batch in batches:
-            ids, out, rare = batch.column(0), [], []
+            ids, out = batch.column(0), []
             for d, text in zip(ids.to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 listed, row = words_of(text.as_py()), at << 2 | part(d)
                 own = words.places(listed)
@@ -145,78 +186,144 @@ def tokens(docs: DataFrame, sent) -> DataFrame:
                 dense = (own >= 0) & (own < words.dense) & (before >= 0) & (before < words.dense)
                 frequent = (own >= 0) & (before >= 0) & ~dense
                 out.append((row, len(own), int((words.count[known] > 0).sum()), float(log_count[known].sum()) - len(own) * words.log_base, (before[dense] * words.dense + own[dense]).astype("<u4").tobytes()))
-                held.append(((before[frequent] << 16 | own[frequent]).astype("<u4"), row))
-                n_held += len(held[-1][0])
-                pairs = Counter()
-                for i in np.flatnonzero((own < 0) | (before < 0)).tolist():
-                    w, h = int(own[i]), int(before[i])
-                    if w >= 0:
-                        pairs[FIRST, listed[i - 1], None, w] += 1
-                    elif h >= 0:
-                        pairs[SECOND, listed[i], None, h] += 1
-                    else:
-                        pairs[BOTH, listed[i], listed[i - 1], None] += 1
-                rare += [(row, *k, n) for k, n in pairs.items()]
+                if frequent.any():
+                    held[FREQUENT_PAIR].append(((before[frequent] << 16 | own[frequent]).astype("<u4"), None, row))
+                rare = np.flatnonzero(own < 0)
+                if len(rare):
+                    code = np.zeros(len(own) + 1, "<u8")
+                    code[rare + 1] = np.fromiter((xxhash.xxh3_64_intdigest(listed[i]) for i in rare.tolist()), np.uint64, len(rare))
+                    one, two = own < 0, before < 0
+                    for k, which, key, other in ((RARE_FIRST, two & ~one, code[:-1], own), (RARE_SECOND, one & ~two, code[1:], before), (RARE_BOTH, one & two, code[:-1], code[1:])):
+                        if which.any():
+                            held[k].append((key[which], other[which].astype(_OTHERS[k]), row))
+                n_held += len(own)
                 at += 1
-            columns = list(zip(*out, strict=True))
+                if n_held > HELD_TOKENS or at - first >= HELD_DOCS:
+                    if any(held):
+                        yield flush(ids.type)
+                    first, n_held = at, 0
             if out:
-                yield rows(ids.type, doc_id=ids, **dict(zip(("row", "n_tokens", "n_known", "base", "dense"), columns, strict=True)))
-            if rare:
-                yield rows(ids.type, **dict(zip(("row", "side", "word", "context", "other", "n"), zip(*rare, strict=True), strict=True)))
-            if n_held > HELD_TOKENS:
-                yield flush(ids.type)
-                n_held = 0
-        if n_held:
+                yield rows(ids.type, doc_id=ids, **dict(zip(("row", "n_tokens", "n_known", "base", "dense"), zip(*out, strict=True), strict=True)))
+        if any(held):
             yield flush(ids.type)
 
-    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, dense binary, side int, word binary, context binary, other int, n int, bucket int, pairs binary, rows binary"
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, dense binary, kind int, bucket int, keys binary, others binary, rows binary"
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def rare_pairs(both: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
-    """Rows (row, side, n) of pairs with a rarer word, with the counts of context (h), word (w) and pair (hw), in all and in the tuning part."""
-    spark = both.sparkSession
-    rows = both.filter("side IS NOT NULL").select("row", "side", "word", "context", "other", "n")
-    places = pa.table({"other": pa.array(range(len(words.count)), pa.int32()), "o": words.count, "o_tune": words.tune})
-    listed = F.broadcast(spark.createDataFrame(places.to_pandas(), "other int, o long, o_tune long"))
-    seen = counts.select("word", F.col("n").alias("c"), F.col("tune").alias("c_tune"))
-    met = rows.join(seen, "word", "left")
+def _joined(column, dtype: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), dtype) for x in column] or [np.zeros(0, dtype)])
+
+
+def _owners(group: pa.Table) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), "<u2").astype(np.int64) + r for x, r in zip(group["rows"], group["row"].to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
+
 
-    def pair(df: DataFrame, *by: str) -> DataFrame:
-        group, training = Window.partitionBy(*by), F.col("row").bitwiseAND(3)
-        return df.withColumn("hw", F.sum(F.when(training > 0, F.col("n")).otherwise(0)).over(group)).withColumn("hw_tune", F.sum(F.when(training == TUNE, F.col("n")).otherwise(0)).over(group))
+def _tally(at: np.ndarray, n: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of the training documents and of the tuning part have each number below n."""
+    return tuple(np.bincount(at[x], minlength=n).astype("<i8") for x in (rows & 3 > 0, rows & 3 == TUNE))
 
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    one = pair(met.filter(F.col("side") != BOTH), "word", "side", "other").join(listed, "other")
-    first = F.col("side") == FIRST
-    pick = lambda yes, no, name: F.when(first, zero(yes)).otherwise(zero(no)).alias(name)
-    one = one.select("row", "side", "n", pick("c", "o", "h"), pick("c_tune", "o_tune", "h_tune"), pick("o", "c", "w"), pick("o_tune", "c_tune", "w_tune"), "hw", "hw_tune")
-    before = counts.select(F.col("word").alias("context"), F.col("n").alias("h"), F.col("tune").alias("h_tune"))
-    two = pair(met.filter(F.col("side") == BOTH).join(before, "context", "left"), "context", "word")
-    two = two.select("row", "side", "n", zero("h").alias("h"), zero("h_tune").alias("h_tune"), zero("c").alias("w"), zero("c_tune").alias("w_tune"), "hw", "hw_tune")
-    return materialize(one.unionByName(two), "rare")
+
+#: Counts of distinct pairs: of the context, the word and the pair, in all training documents and in the tuning part; how many tokens each has, and whose those are. known: base scores have the word already.
+_NUMBERS = ("h", "h_tune", "w", "w_tune", "hw", "hw_tune", "times", "rows")
+_COUNTED = ", ".join(f"{c} binary" for c in _NUMBERS) + ", known boolean"
+#: Pairs of two rarer words on their way to the second one's bucket.
+_PASSED = "bucket int, keys binary, h binary, h_tune binary, hw binary, hw_tune binary, times binary, rows binary"
+
+
+def rare_firsts(both: DataFrame, sent) -> DataFrame:
+    """Pairs whose first word is rarer, counted in that word's bucket: whole if the second one is frequent, else to be passed on."""
+
+    def run(group: pa.Table) -> pa.Table:
+        words: Words = sent.value
+        kinds = np.array(group["kind"])
+        parts = [group.filter(pa.array(kinds == k)) for k in (RARE_FIRST, RARE_BOTH)]
+        key, row = [_joined(p["keys"], "<u8") for p in parts], [_owners(p) for p in parts]
+        distinct, at = np.unique(np.concatenate(key), return_inverse=True)
+        h, h_tune = _tally(at, len(distinct), np.concatenate(row))
+        out = {c: [] for c in ("bucket", "keys", *_NUMBERS, "known")}
+        for k, part, keys, rows, at_h in zip((RARE_FIRST, RARE_BOTH), parts, key, row, np.split(at, [len(key[0])]), strict=True):
+            others = _joined(part["others"], _OTHERS[k])
+            if not len(keys):
+                continue
+            target = _bucket(others, words.buckets).astype(np.int64) if k == RARE_BOTH else np.zeros(len(keys), np.int64)
+            order = np.lexsort((_code(keys, others), target))
+            code, rows, target, others, at_h = _code(keys, others)[order], rows[order], target[order], others[order], at_h[order]
+            start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            pair = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]]))
+            hw, hw_tune = _tally(pair, len(start), rows)
+            numbers = {"h": h[at_h[start]], "h_tune": h_tune[at_h[start]], "hw": hw, "hw_tune": hw_tune, "times": np.diff(np.append(start, len(rows)))}
+            which, cut = np.unique(target[start], return_index=True)
+            for b, i, j in zip(which.tolist(), cut.tolist(), [*cut[1:].tolist(), len(start)], strict=True):
+                some, own = slice(i, j), others[start[i:j]]
+                end = int(start[j]) if j < len(start) else len(rows)
+                got = {c: x[some] for c, x in numbers.items()} | {"rows": rows[start[i] : end]}
+                got |= {"w": words.count[own], "w_tune": words.tune[own]} if k == RARE_FIRST else {"keys": own}
+                for c in ("keys", *_NUMBERS):
+                    out[c].append(got[c].astype("<u8" if c == "keys" else "<i8").tobytes() if c in got else None)
+                out["bucket"].append(b if k == RARE_BOTH else None)
+                out["known"].append(True)
+        return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.bool_() if c == "known" else pa.binary()) for c, x in out.items()})
+
+    ship(both.sparkSession)
+    got = both.filter(F.col("kind").isin(RARE_FIRST, RARE_BOTH)).select("kind", "bucket", "row", "keys", "others", "rows")
+    return materialize(got.groupBy("bucket").applyInArrow(run, f"bucket int, keys binary, {_COUNTED}"), "firsts")
+
+
+def rare_seconds(both: DataFrame, firsts: DataFrame, sent) -> DataFrame:
+    """Pairs whose second word is rarer, counted in that word's bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        words: Words = sent.value
+        kinds = np.array(group["kind"])
+        some, passed = (group.filter(pa.array(kinds == k)) for k in (RARE_SECOND, RARE_BOTH))
+        key, place, row = _joined(some["keys"], "<u8"), _joined(some["others"], "<u2"), _owners(some)
+        number = {c: _joined(passed[c], "<i8") for c in ("h", "h_tune", "hw", "hw_tune", "times")}
+        passed_key, passed_row = _joined(passed["keys"], "<u8"), _joined(passed["rows"], "<i8")
+        distinct, at = np.unique(np.concatenate([key, passed_key]), return_inverse=True)
+        own, of_passed = at[: len(key)], at[len(key) :]
+        w, w_tune = _tally(np.concatenate([own, np.repeat(of_passed, number["times"])]), len(distinct), np.concatenate([row, passed_row]))
+        code = _code(key, place)
+        order = np.argsort(code, kind="stable")
+        code, row, place, own = code[order], row[order], place[order], own[order]
+        new = np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]])
+        start = np.flatnonzero(new)
+        hw, hw_tune = _tally(np.cumsum(new) - 1, len(start), row)
+        first = {"h": words.count[place[start]], "h_tune": words.tune[place[start]], "w": w[own[start]], "w_tune": w_tune[own[start]], "hw": hw, "hw_tune": hw_tune, "times": np.diff(np.append(start, len(row))), "rows": row}
+        number |= {"w": w[of_passed], "w_tune": w_tune[of_passed], "rows": passed_row}
+        return pa.table({c: pa.array([np.concatenate([first[c], number[c]]).astype("<i8").tobytes()], pa.binary()) for c in _NUMBERS} | {"known": pa.array([False])})
+
+    own = both.filter(F.col("kind") == RARE_SECOND).select("kind", "bucket", "row", "keys", "others", "rows")
+    more = firsts.filter("bucket IS NOT NULL").select(F.lit(RARE_BOTH).alias("kind"), "bucket", "keys", "rows", "h", "h_tune", "hw", "hw_tune", "times")
+    return materialize(own.unionByName(more, allowMissingColumns=True).groupBy("bucket").applyInArrow(run, _COUNTED), "seconds")
+
+
+def rare_pairs(both: DataFrame, sent) -> DataFrame:
+    """Rows of counts of all pairs with a rarer word."""
+    firsts = rare_firsts(both, sent)
+    names = [*_NUMBERS, "known"]
+    return firsts.filter("bucket IS NULL").select(*names).unionByName(rare_seconds(both, firsts, sent).select(*names))
 
 
 def frequent_pairs(both: DataFrame) -> DataFrame:
     """A row for each bucket: its pairs, how often each comes in training documents, in the tuning part and in all, and whose each one is."""
 
     def run(group: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group["pairs"]])
-        row = np.concatenate([np.frombuffer(x.as_py(), "<u8").astype(np.int64) + r for x, r in zip(group["rows"], group["row"].to_pylist(), strict=True)])
+        key, row = _joined(group["keys"], "<u4"), _owners(group)
         order = np.argsort(key, kind="stable")
         key, row = key[order], row[order]
         own, start, times = np.unique(key, return_index=True, return_counts=True)
         hw, tune = (np.add.reduceat(x.astype(np.int64), start) for x in (row & 3 > 0, row & 3 == TUNE))
         return pa.table({"pairs": [own.tobytes()], "hw": [hw.tobytes()], "hw_tune": [tune.tobytes()], "times": [times.tobytes()], "rows": [row.tobytes()]}, pa.schema([(k, pa.binary()) for k in ("pairs", "hw", "hw_tune", "times", "rows")]))
 
-    got = both.filter("bucket IS NOT NULL").select("bucket", "row", "pairs", "rows")
+    got = both.filter(F.col("kind") == FREQUENT_PAIR).select("bucket", "row", "keys", "rows")
     return materialize(got.groupBy("bucket").applyInArrow(run, "pairs binary, hw binary, hw_tune binary, times binary, rows binary"), "pairs")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     for r in range(batch.num_rows):
         pairs = np.frombuffer(batch.column(0)[r].as_py(), "<u4").astype(np.int64)
-        yield (pairs >> 16, pairs & 0xFFFF, *(np.frombuffer(batch.column(k)[r].as_py(), np.int64) for k in range(1, 5)))
+        yield (pairs >> 16, pairs & 0xFFFF, *(np.frombuffer(c[r].as_py(), np.int64) for c in batch.columns[1:]))
 
 
 def dense_counts(both: DataFrame, size: int) -> np.ndarray:
@@ -288,31 +395,58 @@ def learn(words: Words, sent, dense: np.ndarray, rare: DataFrame, frequent: Data
     def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = sent.value.count - sent.value.tune
         for batch in batches:
-            for h, w, hw, tune, _, _ in _unpacked(batch):
+            for h, w, hw, tune in _unpacked(batch):
                 k = tune > 0
                 yield cells(tune[k], fit[h[k]], fit[w[k]], (hw - tune)[k], fit_tokens)
 
     def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield cells(*(x.to_numpy(zero_copy_only=False) for x in batch.columns), fit_tokens)
+            for r in range(batch.num_rows):
+                h, h_tune, w, w_tune, hw, n = (np.frombuffer(c[r].as_py(), "<i8") for c in batch.columns)
+                k = n > 0
+                yield cells(n[k], (h - h_tune)[k], (w - w_tune)[k], (hw - n)[k], fit_tokens)
 
-    tuned = rare.filter(F.col("row").bitwiseAND(3) == TUNE).selectExpr("n", "h - h_tune AS h", "w - w_tune AS w", "hw - hw_tune AS hw")
-    rows = map_arrow(frequent, of_frequent, _CELL).unionByName(map_arrow(tuned, of_rare, _CELL)).groupBy("bucket", "q2", "q1").agg(F.sum("n"), F.sum("p2"), F.sum("p1"))
+    rows = map_arrow(frequent.select("pairs", "hw", "hw_tune"), of_frequent, _CELL).unionByName(map_arrow(rare.select(*_NUMBERS[:6]), of_rare, _CELL)).groupBy("bucket", "q2", "q1").agg(F.sum("n"), F.sum("p2"), F.sum("p1"))
     fit, used = words.count - words.tune, np.flatnonzero(dense[1])
     own = cells(dense[1][used], fit[used // words.dense], fit[used % words.dense], (dense[0] - dense[1])[used], fit_tokens)
     both = [np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 6), np.array([c.to_numpy() for c in own.columns], float).T]
     return Model(words, mixture(np.concatenate(both)[:, [0, 3, 4, 5]], 1 / (words.distinct + 1)))
 
 
+#: Documents whose sums go back together, by a power of two of their rows' numbers.
+BLOCK = 14
+_SUMS = "block long, rows binary, score binary, base binary, known binary"
+
+
+def packed_sums(which: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+    """A row for each block of documents: which of them, and their sums. Without sums of base scores those are 0."""
+    block, cut = np.unique(which >> BLOCK, return_index=True)
+    parts = [[x.tobytes() for x in np.split(y, cut[1:])] for y in ((which & (1 << BLOCK) - 1).astype("<u2"), *(np.asarray(x, "<f8") for x in sums))]
+    parts += [[None] * len(block)] * (4 - len(parts))
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], [x.split()[0] for x in _SUMS.split(", ")])
+
+
+def added_sums(group: pa.Table) -> pa.Table:
+    total, seen = np.zeros((3, 1 << BLOCK)), np.zeros(1 << BLOCK, bool)
+    for i in range(group.num_rows):
+        rows = np.frombuffer(group["rows"][i].as_py(), "<u2")
+        seen[rows] = True
+        for k, c in enumerate(("score", "base", "known")):
+            x = group[c][i].as_py()
+            if x is not None:
+                total[k, rows] += np.frombuffer(x, "<f8")
+    at = np.flatnonzero(seen)
+    return pa.table({"row": pa.array((group["block"][0].as_py() << BLOCK) + at), "more": total[0, at], "more_base": total[1, at], "more_known": pa.array(total[2, at].round().astype(np.int64))})
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     counts = materialize(word_counts(docs), "words")
     n_tokens, n_tune, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tune"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(r[0]), int(r[1]), int(r[2])) for r in counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
-    words, context = Words(top, int(n_tokens), int(n_tune), int(distinct), DENSE), docs.sparkSession.sparkContext
+    words, context = Words(most_frequent(counts), int(n_tokens), int(n_tune), int(distinct), DENSE), docs.sparkSession.sparkContext
     sent = context.broadcast(words)
     both = materialize(tokens(docs, sent), "tokens")
-    rare, frequent, dense = rare_pairs(both, counts, words), frequent_pairs(both), dense_counts(both, words.dense**2)
+    rare, frequent, dense = rare_pairs(both, sent), frequent_pairs(both), dense_counts(both, words.dense**2)
     own = learn(words, sent, dense, rare, frequent)
     every = np.arange(words.dense**2)
     logs = context.broadcast(own.log(words.count[every // words.dense], words.count[every % words.dense], dense[0]))
@@ -320,27 +454,25 @@ def score(docs: DataFrame) -> DataFrame:
     def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sent.value.count
         for batch in batches:
-            for h, w, hw, _, times, rows in _unpacked(batch):
+            for h, w, hw, times, rows in _unpacked(batch):
                 which, at = np.unique(rows, return_inverse=True)
-                sums = np.bincount(at, np.repeat(own.log(count[h], count[w], hw), times), len(which))
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(sums), pa.array(np.zeros(len(which))), pa.array(np.zeros(len(which), np.int64))], names)
+                yield packed_sums(which, np.bincount(at, np.repeat(own.log(count[h], count[w], hw), times), len(which)))
 
     def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, side, n, h, w, hw = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            second = n * (side != FIRST)
-            which, at = np.unique(row, return_inverse=True)
-            sums = [np.bincount(at, x, len(which)) for x in (n * own.log(h, w, hw), second * np.log10(w + ADD), second * (w > 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names)
+            for r in range(batch.num_rows):
+                h, w, hw, times, rows = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in range(5))
+                which, at = np.unique(rows, return_inverse=True)
+                new = not batch.column(5)[r].as_py()
+                yield packed_sums(which, *(np.bincount(at, np.repeat(x, times), len(which)) for x in (own.log(h, w, hw), *((np.log10(w + ADD), w > 0) if new else ()))))
 
     def of_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = [float(logs.value[np.frombuffer(x.as_py(), "<u4")].sum()) for x in batch.column(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "n_known", "base", "score"])
 
-    names, schema = ["row", "score", "base", "known"], "row long, score double, base double, known long"
-    sums = map_arrow(frequent, of_frequent, schema).unionByName(map_arrow(rare.select("row", "side", "n", "h", "w", "hw"), of_rare, schema))
-    sums = sums.groupBy("row").agg(F.sum("score").alias("more"), F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
+    frequent_sums = map_arrow(frequent.select("pairs", "hw", "times", "rows"), of_frequent, _SUMS)
+    sums = frequent_sums.unionByName(map_arrow(rare.select("h", "w", "hw", "times", "rows", "known"), of_rare, _SUMS)).groupBy("block").applyInArrow(added_sums, "row long, more double, more_base double, more_known long")
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = map_arrow(both.filter("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "dense"), of_dense, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
     held = (F.col("row").bitwiseAND(3) == HELD_OUT).alias("held_out")

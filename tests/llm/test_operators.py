@@ -15,22 +15,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, neardup, ngram_lm, pii, quality, source_mix, token_files, topk, url_reputation, webp
-
-DOCS = "doc_id long, text string, source string, __score string, node string"
-TEXTS = [None, "", " ", "one", "one two", "One two", "the same words again and again here", "the same words again and again here", "日本 語 😀 text", "x" * 5000, "a\n\n  b\t c ", "mail me at a.b@c.de or +1 (743) 555-3824 now", "word " * 3000]
-
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    rows = [(i, t, [None, "s1", "s2"][i % 3], "x", "y") for i, t in enumerate(TEXTS)] + [(None, "no id", "s1", "x", "y"), (4, TEXTS[4], "s2", "x", "y")]
-    return spark.createDataFrame(rows, DOCS)
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], DOCS)
-
+from palimpsest.llm import bpe, neardup, ngram_lm, quality, source_mix, token_files, topk, url_reputation, webp
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7?q", "http://example.com/en/8", "https://x.net/de/1#f", "http://www.example.net/de/8/9", "ftp://b.org/es/://z", "http://notcom/en/", "http://com/en/"]
@@ -44,76 +29,6 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_reputation.judge_urls(pages.filter("page_id < 3"), labels.limit(0)).collect()} == {"allow"}
 
 
-def test_base_spans_equal_the_patterns():
-    r = random.Random(3)
-    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-    for _ in range(3000):
-        x = "".join(r.choice("a.b%@@1 2.-3+4é") for _ in range(r.randint(0, 40)))
-        got = pii.base_spans(x)
-        assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in email.finditer(x)]
-        assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in ip.finditer(x) if all(int(p) <= 255 for p in m.group().split("."))]
-
-
-def test_pii(docs, none):
-    field = pii.Field.fit([])
-    rows = {r["doc_id"]: r for r in pii.detect(docs, field).collect() if r["doc_id"] is not None}
-    assert (rows[11]["n_email"], rows[11]["n_phone"], rows[0]["spans"]) == (1, 1, "")
-    assert rows[11]["base_sha256"] == hashlib.sha256(b"email:11:19,phone:23:40").hexdigest()
-    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs, field).collect()}
-    assert masked[11] == "mail me at [EMAIL] or [PHONE] now" and masked[0] is None and masked[8] == TEXTS[8]
-    assert pii.detect(none).count() == 0
-
-
-def test_repeated_number_is_found_again():
-    text = "call +1 (743) 555-3824 today or later at (743) 555-3824 thanks"
-    (base, all_), = pii.find(pii.Field.fit([]), [text])
-    assert len(base) == 1 and len(all_) > 1 and set(base) <= set(all_)
-
-
-def test_mentions_with_plain_words_between_are_linked():
-    graph, text = pii.Graph(), "call +1 (743) 555-3824 now or later at 7435553824"
-    graph.add(0, text)
-    assert graph.skip == [(2, 3)] and (2, 3) not in graph.chain
-    field, phone = pii.Field.fit([]), pii.LABELS.index("phone")
-    linked = field.marginals(graph)[3, phone]
-    graph.skip = []
-    assert linked > 2 * field.marginals(graph)[3, phone]
-    side = pii.Graph()
-    side.add(0, "7435553824 7435553824")
-    assert side.chain == [(0, 1)] and not side.skip
-
-
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, width):
-    r = random.Random(width)
-    rows, start = [], ["w%d" % r.randrange(500) for _ in range(120)]
-    for i in range(120):
-        w = list(start) if i % 3 else ["v%d" % r.randrange(300) for _ in range(60)]
-        for _ in range(r.randrange(12 if width == 2 else 5)):
-            w[r.randrange(len(w))] = "e%d" % r.randrange(10**6)
-        rows.append((i, " ".join(w)))
-    rows += [(200, None), (201, " "), (202, "a"), (203, "A"), (204, "a b"), (None, rows[1][1]), (1, rows[1][1])]
-    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()
-    sets = [frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
-    up = list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
-                up[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    want = Counter((d, len(s), least.get(find(i)), d == least.get(find(i))) for i, (d, s) in enumerate(zip([x for x, _ in rows], sets, strict=True)))
-    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in got) == want
-
-
 def test_quality(spark, docs, none):
     good, bad = ("the quick fox runs over the hill and sleeps well. " * 3).encode(), ("BUY!! NOW!! CHEAP!! " * 9).encode()
     m = quality.fit_texts([good, bad] * 30, [1, 0] * 30)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, ship
+from .common import discard, map_arrow, materialize, ship
 
 FOLDS, TUNING_FOLD, ADD = 10, 1, 0.1
 DENSE, FREQUENT, BUCKETS, ROUNDS = 1024, 65_535, 40, 30
@@ -136,6 +136,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on, which compress far better; of ascending numbers, their steps."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if ascending else np.ascontiguousarray(x)
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, dtype: str, ascending: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if ascending else x
+
+
 def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A number for each pair."""
     return _mixed(_mixed(a.astype(np.uint64)) + b.astype(np.uint64))
@@ -172,7 +183,7 @@ def tokens(docs: DataFrame, sent) -> DataFrame:
                 order = np.lexsort((keys, bucket))
                 which, start = np.unique(bucket[order], return_index=True)
                 for b, part in zip(which.tolist(), np.split(order, start[1:]), strict=True):
-                    out.append((first << 2, k, b, keys[part].tobytes(), others[part].tobytes() if others is not None else None, owner[part].tobytes()))
+                    out.append((first << 2, k, b, packed(keys[part], True), packed(others[part]) if others is not None else None, packed(owner[part])))
                 parts.clear()
             return rows(id_type, **dict(zip(("row", "kind", "bucket", "keys", "others", "rows"), zip(*out, strict=True), strict=True)))
 
@@ -185,7 +196,7 @@ def tokens(docs: DataFrame, sent) -> DataFrame:
                 known = own[own >= 0]
                 dense = (own >= 0) & (own < words.dense) & (before >= 0) & (before < words.dense)
                 frequent = (own >= 0) & (before >= 0) & ~dense
-                out.append((row, len(own), int((words.count[known] > 0).sum()), float(log_count[known].sum()) - len(own) * words.log_base, (before[dense] * words.dense + own[dense]).astype("<u4").tobytes()))
+                out.append((row, len(own), int((words.count[known] > 0).sum()), float(log_count[known].sum()) - len(own) * words.log_base, packed((before[dense] * words.dense + own[dense]).astype("<u4"))))
                 if frequent.any():
                     held[FREQUENT_PAIR].append(((before[frequent] << 16 | own[frequent]).astype("<u4"), None, row))
                 rare = np.flatnonzero(own < 0)
@@ -211,12 +222,12 @@ def tokens(docs: DataFrame, sent) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def _joined(column, dtype: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), dtype) for x in column] or [np.zeros(0, dtype)])
+def _joined(column, dtype: str, ascending: bool = False) -> np.ndarray:
+    return np.concatenate([unpacked(x.as_py(), dtype, ascending) for x in column] or [np.zeros(0, dtype)])
 
 
 def _owners(group: pa.Table) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), "<u2").astype(np.int64) + r for x, r in zip(group["rows"], group["row"].to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
+    return np.concatenate([unpacked(x.as_py(), "<u2").astype(np.int64) + r for x, r in zip(group["rows"], group["row"].to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
 
 
 def _tally(at: np.ndarray, n: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +249,7 @@ def rare_firsts(both: DataFrame, sent) -> DataFrame:
         words: Words = sent.value
         kinds = np.array(group["kind"])
         parts = [group.filter(pa.array(kinds == k)) for k in (RARE_FIRST, RARE_BOTH)]
-        key, row = [_joined(p["keys"], "<u8") for p in parts], [_owners(p) for p in parts]
+        key, row = [_joined(p["keys"], "<u8", True) for p in parts], [_owners(p) for p in parts]
         distinct, at = np.unique(np.concatenate(key), return_inverse=True)
         h, h_tune = _tally(at, len(distinct), np.concatenate(row))
         out = {c: [] for c in ("bucket", "keys", *_NUMBERS, "known")}
@@ -260,7 +271,7 @@ def rare_firsts(both: DataFrame, sent) -> DataFrame:
                 got = {c: x[some] for c, x in numbers.items()} | {"rows": rows[start[i] : end]}
                 got |= {"w": words.count[own], "w_tune": words.tune[own]} if k == RARE_FIRST else {"keys": own}
                 for c in ("keys", *_NUMBERS):
-                    out[c].append(got[c].astype("<u8" if c == "keys" else "<i8").tobytes() if c in got else None)
+                    out[c].append(packed(got[c].astype("<u8" if c == "keys" else "<i8")) if c in got else None)
                 out["bucket"].append(b if k == RARE_BOTH else None)
                 out["known"].append(True)
         return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.bool_() if c == "known" else pa.binary()) for c, x in out.items()})
@@ -277,7 +288,7 @@ def rare_seconds(both: DataFrame, firsts: DataFrame, sent) -> DataFrame:
         words: Words = sent.value
         kinds = np.array(group["kind"])
         some, passed = (group.filter(pa.array(kinds == k)) for k in (RARE_SECOND, RARE_BOTH))
-        key, place, row = _joined(some["keys"], "<u8"), _joined(some["others"], "<u2"), _owners(some)
+        key, place, row = _joined(some["keys"], "<u8", True), _joined(some["others"], "<u2"), _owners(some)
         number = {c: _joined(passed[c], "<i8") for c in ("h", "h_tune", "hw", "hw_tune", "times")}
         passed_key, passed_row = _joined(passed["keys"], "<u8"), _joined(passed["rows"], "<i8")
         distinct, at = np.unique(np.concatenate([key, passed_key]), return_inverse=True)
@@ -291,7 +302,7 @@ def rare_seconds(both: DataFrame, firsts: DataFrame, sent) -> DataFrame:
         hw, hw_tune = _tally(np.cumsum(new) - 1, len(start), row)
         first = {"h": words.count[place[start]], "h_tune": words.tune[place[start]], "w": w[own[start]], "w_tune": w_tune[own[start]], "hw": hw, "hw_tune": hw_tune, "times": np.diff(np.append(start, len(row))), "rows": row}
         number |= {"w": w[of_passed], "w_tune": w_tune[of_passed], "rows": passed_row}
-        return pa.table({c: pa.array([np.concatenate([first[c], number[c]]).astype("<i8").tobytes()], pa.binary()) for c in _NUMBERS} | {"known": pa.array([False])})
+        return pa.table({c: pa.array([packed(np.concatenate([first[c], number[c]]).astype("<i8"))], pa.binary()) for c in _NUMBERS} | {"known": pa.array([False])})
 
     own = both.filter(F.col("kind") == RARE_SECOND).select("kind", "bucket", "row", "keys", "others", "rows")
     more = firsts.filter("bucket IS NOT NULL").select(F.lit(RARE_BOTH).alias("kind"), "bucket", "keys", "rows", "h", "h_tune", "hw", "hw_tune", "times")
@@ -309,12 +320,13 @@ def frequent_pairs(both: DataFrame) -> DataFrame:
     """A row for each bucket: its pairs, how often each comes in training documents, in the tuning part and in all, and whose each one is."""
 
     def run(group: pa.Table) -> pa.Table:
-        key, row = _joined(group["keys"], "<u4"), _owners(group)
+        key, row = _joined(group["keys"], "<u4", True), _owners(group)
         order = np.argsort(key, kind="stable")
         key, row = key[order], row[order]
         own, start, times = np.unique(key, return_index=True, return_counts=True)
         hw, tune = (np.add.reduceat(x.astype(np.int64), start) for x in (row & 3 > 0, row & 3 == TUNE))
-        return pa.table({"pairs": [own.tobytes()], "hw": [hw.tobytes()], "hw_tune": [tune.tobytes()], "times": [times.tobytes()], "rows": [row.tobytes()]}, pa.schema([(k, pa.binary()) for k in ("pairs", "hw", "hw_tune", "times", "rows")]))
+        numbers = {"hw": hw, "hw_tune": tune, "times": times, "rows": row}
+        return pa.table({"pairs": [packed(own, True)]} | {c: [packed(x.astype("<i8"))] for c, x in numbers.items()}, pa.schema([(c, pa.binary()) for c in ("pairs", *numbers)]))
 
     got = both.filter(F.col("kind") == FREQUENT_PAIR).select("bucket", "row", "keys", "rows")
     return materialize(got.groupBy("bucket").applyInArrow(run, "pairs binary, hw binary, hw_tune binary, times binary, rows binary"), "pairs")
@@ -322,8 +334,8 @@ def frequent_pairs(both: DataFrame) -> DataFrame:
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     for r in range(batch.num_rows):
-        pairs = np.frombuffer(batch.column(0)[r].as_py(), "<u4").astype(np.int64)
-        yield (pairs >> 16, pairs & 0xFFFF, *(np.frombuffer(c[r].as_py(), np.int64) for c in batch.columns[1:]))
+        pairs = unpacked(batch.column(0)[r].as_py(), "<u4", True).astype(np.int64)
+        yield (pairs >> 16, pairs & 0xFFFF, *(unpacked(c[r].as_py(), "<i8") for c in batch.columns[1:]))
 
 
 def dense_counts(both: DataFrame, size: int) -> np.ndarray:
@@ -334,7 +346,7 @@ def dense_counts(both: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for row, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if row & 3:
-                    got = np.frombuffer(codes.as_py(), "<u4")
+                    got = unpacked(codes.as_py(), "<u4")
                     np.add.at(total[0], got, 1)
                     if row & 3 == TUNE:
                         np.add.at(total[1], got, 1)
@@ -402,7 +414,7 @@ def learn(words: Words, sent, dense: np.ndarray, rare: DataFrame, frequent: Data
     def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                h, h_tune, w, w_tune, hw, n = (np.frombuffer(c[r].as_py(), "<i8") for c in batch.columns)
+                h, h_tune, w, w_tune, hw, n = (unpacked(c[r].as_py(), "<i8") for c in batch.columns)
                 k = n > 0
                 yield cells(n[k], (h - h_tune)[k], (w - w_tune)[k], (hw - n)[k], fit_tokens)
 
@@ -445,8 +457,11 @@ def score(docs: DataFrame) -> DataFrame:
     n_tokens, n_tune, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tune"), F.lit(0)), F.count(F.lit(1))).first()
     words, context = Words(most_frequent(counts), int(n_tokens), int(n_tune), int(distinct), DENSE), docs.sparkSession.sparkContext
     sent = context.broadcast(words)
+    discard(counts)
     both = materialize(tokens(docs, sent), "tokens")
     rare, frequent, dense = rare_pairs(both, sent), frequent_pairs(both), dense_counts(both, words.dense**2)
+    texts = materialize(both.filter("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "dense"), "texts")
+    discard(both)  # by far the largest table; all its pairs are counted
     own = learn(words, sent, dense, rare, frequent)
     every = np.arange(words.dense**2)
     logs = context.broadcast(own.log(words.count[every // words.dense], words.count[every % words.dense], dense[0]))
@@ -461,20 +476,20 @@ def score(docs: DataFrame) -> DataFrame:
     def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                h, w, hw, times, rows = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in range(5))
+                h, w, hw, times, rows = (unpacked(batch.column(c)[r].as_py(), "<i8") for c in range(5))
                 which, at = np.unique(rows, return_inverse=True)
                 new = not batch.column(5)[r].as_py()
                 yield packed_sums(which, *(np.bincount(at, np.repeat(x, times), len(which)) for x in (own.log(h, w, hw), *((np.log10(w + ADD), w > 0) if new else ()))))
 
     def of_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [float(logs.value[np.frombuffer(x.as_py(), "<u4")].sum()) for x in batch.column(5)]
+            sums = [float(logs.value[unpacked(x.as_py(), "<u4")].sum()) for x in batch.column(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "n_known", "base", "score"])
 
     frequent_sums = map_arrow(frequent.select("pairs", "hw", "times", "rows"), of_frequent, _SUMS)
     sums = frequent_sums.unionByName(map_arrow(rare.select("h", "w", "hw", "times", "rows", "known"), of_rare, _SUMS)).groupBy("block").applyInArrow(added_sums, "row long, more double, more_base double, more_known long")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = map_arrow(both.filter("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "dense"), of_dense, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
+    scored = map_arrow(texts, of_dense, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
     held = (F.col("row").bitwiseAND(3) == HELD_OUT).alias("held_out")
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scored.join(sums, "row", "left").select("doc_id", held, "n_tokens", (F.col("n_known") + more("more_known")).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base") + more("more_base")).alias("base_score"), (F.col("score") + more("more")).alias("score"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from palimpsest.llm import bpe, neardup, ngram_lm, quality, source_mix, token_files, topk, url_reputation, webp
+from palimpsest.llm.common import discard, materialize
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7?q", "http://example.com/en/8", "https://x.net/de/1#f", "http://www.example.net/de/8/9", "ftp://b.org/es/://z", "http://notcom/en/", "http://com/en/"]
@@ -68,6 +70,25 @@ def test_language_model(docs, none):
     assert ngram_lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4", "<u8", "<i8"])
+@pytest.mark.parametrize("n", [0, 1, 7, 1000])
+def test_packed_numbers_come_back(dtype, n):
+    x = np.random.default_rng(n).integers(0, np.iinfo(dtype).max, n, dtype=dtype, endpoint=True)
+    assert ngram_lm.unpacked(ngram_lm.packed(x), dtype).tolist() == x.tolist()
+    assert ngram_lm.unpacked(ngram_lm.packed(np.sort(x), True), dtype, True).tolist() == sorted(x.tolist())
+
+
+def test_discard_deletes_written_tables_only(spark, tmp_path):
+    path = str(tmp_path / "kept.parquet")
+    spark.range(3).write.parquet(path)
+    kept, written = spark.read.parquet(path), materialize(spark.range(5), "written")
+    files = [f.removeprefix("file://") for f in written.inputFiles()]
+    assert files and all(map(os.path.exists, files))
+    for df in (kept, written):
+        discard(df)
+    assert kept.count() == 3 and not any(map(os.path.exists, files))
+
+
 def test_language_model_counts_pairs_of_all_words(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "DENSE", 3)
     monkeypatch.setattr(ngram_lm, "FREQUENT", 15)

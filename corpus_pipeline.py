@@ -18,6 +18,14 @@ from palimpsest.llm.common import materialize, small, table
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
@@ -35,12 +43,17 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded; at most twice."""
-    took = source_mix.mix(docs).groupBy("doc_id").agg(F.sum("size").alias("s"), F.sum("taken").alias("t")).filter("t > 0")
-    times = took.select(F.col("doc_id").alias("__id"), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("__times")).filter("__times > 0")
-    times = materialize(times, "times")
-    out = docs.join(small(times, 1_000_000), docs["doc_id"].eqNullSafe(times["__id"]))
-    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    """Each document as often as the mix takes its words, rounded; at most twice.
+
+    Documents without words are not taken. Rows of one id, or without an id, count together: each
+    comes as often as the mix takes their words on the whole. Columns of any name stay as they are.
+    """
+    key, times, copy = (_free(docs, c) for c in ("id", "times", "copy"))
+    took = source_mix.mix(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.sum("size").alias("s"), F.sum("taken").alias("t")).filter("t > 0")
+    took = took.select(F.col("doc_id").alias(key), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias(times)).filter(F.col(times) > 0)
+    took = materialize(took, "times")
+    out = docs.join(small(took, 1_000_000), docs["doc_id"].eqNullSafe(F.col(key)))
+    return out.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,6 +187,22 @@ def test_topk(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 1 << 17, 1 << 22])
+def test_topk_stores_no_pairs_of_blocks(spark, monkeypatch, times):
+    """Many blocks and buckets, lengths, close vectors and ties, against brute force; blocks are sent to no one once for each bucket."""
+    for name, x in {"BUCKET": 16, "BLOCK": 8, "HEAD": 30, "WAITING": 50, "PART_BYTES": 4000}.items():
+        monkeypatch.setattr(topk, name, x)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(700, 5)) * times
+    v[100:300] = v[100] * (1 + np.arange(200)[:, None] % 3) + r.normal(size=(200, 5)) * times * (np.arange(200)[:, None] % 2) / 50
+    df = topk.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), query_every=10)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and plan.count("BroadcastExchange") == 1  # the levels' sizes
+    m = np.floor(64 * v).astype(np.int64)
+    want = {(q, k, c, int(m[q] @ m[c])) for q in range(0, 700, 10) for k, c in enumerate(sorted((c for c in range(700) if c != q), key=lambda c: (-int(m[q] @ m[c]), c))[:20], 1)}
+    assert {tuple(x) for x in df.collect()} == want
+
+
 def test_media(docs, none):
     for row, t in zip(webp.store(docs).collect(), [r["text"] for r in docs.collect()], strict=True):
         raw = webp.padded((t or "").encode())

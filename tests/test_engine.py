@@ -9,6 +9,7 @@ import __spark_entry__ as e
 from palimpsest.config import Settings, cache_identity, final_limits
 from palimpsest.functions.metrics import bleu, rouge_l, words
 from palimpsest.functions.models import completed, hashing_embedding, with_retries
+from palimpsest.operators import closest
 from palimpsest.operators.cluster import average_linkage, with_small_merged
 from palimpsest.operators.packet import packet
 from palimpsest.plans import catalog
@@ -213,3 +214,24 @@ def test_fingerprint(spark, tmp_path):
 
     (tmp_path / "f").write_bytes(b"abc")
     assert state.fingerprint(spark, str(tmp_path / "f")) == hashlib.sha1(b"abc").hexdigest()[:12]
+
+
+@pytest.mark.parametrize("case", ["double", "float", "usual"])
+def test_closest_equals_the_join_of_all_pairs(spark, tmp_path, monkeypatch, case):
+    """Copies, repeated ids, near ties, vectors without a norm and odd ones; pairs of usual vectors are never rows."""
+    for name, x in {"QUERIES": 8, "OTHERS": 16, "SUMS": 40, "PART_BYTES": 3000}.items():
+        monkeypatch.setattr(closest, name, x)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(260, 5))
+    v[50:120] = v[50] * (1 + np.arange(70)[:, None] % 3)
+    v[120:150] = v[50] + r.normal(size=(30, 5)) * 1e-5
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, v[7].tolist()), (60, v[50].tolist()), (61, v[50].tolist())]
+    if case != "usual":
+        rows += [(-10, None), (-7, None), (-7, [0.0] * 5), (300, [1.0, None, 1.0, 1.0, 1.0]), (310, [0.0] * 5), (311, []), (320, [1.0, 2.0]), (330, [float("nan")] * 5), (331, [float("inf")] + [1.0] * 4), (None, [1.0] * 5)]
+    spark.createDataFrame(rows, f"vec_id long, embedding array<{'float' if case == 'float' else 'double'}>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = e.queries()["cosine_topk"](spark, str(tmp_path))
+    want = catalog.run(spark, str(tmp_path), "cosine_topk")
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and (case != "usual" or "NestedLoopJoin" not in plan)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -18,6 +18,7 @@ score is the share of label 1, or 0.5 without labels. Documents without an id co
 from __future__ import annotations
 
 import operator
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -194,9 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, fold
     """From at most sample_docs labelled documents outside the held-out fold."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(folds)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = {r[0]: int(r[1]) for r in known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()}
-    rows = docs.filter(F.col("doc_id").isin(list(some))).select("doc_id", "text").collect() if some else []
-    rows = sorted({(r[0], (r[1] or "").encode()) for r in rows}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    return fit_texts([t for _, t in rows], [some[d] for d, _ in rows])
+    if not some:
+        return fit_texts([], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In one task, so that neither the texts nor the fitting take the driver's memory."""
+        rows = sorted({(d, (t or "").encode()) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+        model = fit_texts([t for _, t in rows], [some[d] for d, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = docs.filter(F.col("doc_id").isin(list(some))).select("doc_id", "text").repartition(1)
+    return pickle.loads(map_arrow(rows, run, "model binary").collect()[0][0])
 
 
 def _free(docs: DataFrame) -> str:

@@ -43,6 +43,21 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(none, quality.fit(none, labels)).count() == 0
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model alone, and it is what plain code makes of the same texts."""
+    texts = {i: " ".join(f"{'good' if i % 2 else 'bad'}{(i * j) % 7}" for j in range(30)) for i in range(60)} | {3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % quality.FOLDS]
+    learnt.sort(key=lambda i: zlib.crc32(str(i).encode()))
+    plain = quality.fit_texts([(texts[i] or "").encode() for i in learnt], [i % 2 for i in learnt])
+    model = quality.fit(docs, labels)
+    some = [(t or "").encode() for t in texts.values()]
+    assert model.layers is not None and np.array_equal(model.scores(some, quality.Shapes()), plain.scores(some, quality.Shapes()))
+    monkeypatch.setattr(quality, "fit_texts", lambda *a: os.getpid())
+    assert quality.fit(docs, labels) != os.getpid()
+
+
 def test_mix(spark, docs, none):
     got = source_mix.mix(docs).collect()
     assert len(got) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)

@@ -49,6 +49,8 @@ MARGIN = 0.13
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 512, 1 << 18, 4096
 #: Keys with up to FEW nodes have all their pairs verified; hubs for the others, by round.
 FEW, HUBS, HUB_ROUNDS = 12, 2, 6
+#: Up to so many keys of documents go to the texts; with more, the texts go to the keys in a shuffle.
+KEYS = 1_000_000
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(12).integers(0, 1 << 63, SAMPLES, np.uint64)
@@ -133,7 +135,7 @@ def packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
     stand = nodes.select("node", F.col("stands.doc_id").alias("__id"), F.col("stands.digest").alias("__digest"))
-    some = docs.select("doc_id", "text", digest(docs)).join(small(stand, 1_000_000), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
+    some = docs.select("doc_id", "text", digest(docs)).join(small(stand, KEYS), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
     # repeated rows, and copies without an id, stand for a node together
     return map_arrow(some.select("node", "text"), run, "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
 
@@ -331,8 +333,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     gone = materialize(rows.filter(~stays).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "gone")
     again = materialize(rows.filter(stays & F.col("node").isNotNull()).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).count().filter("count > 1").drop("count"), "again")
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (digest(docs) == F.col("__digest"))
-    left = docs.join(gone, same, "left_anti")
+    left = docs.join(small(gone, KEYS), same, "left_anti")
     if again.isEmpty():
         return left
+    again = small(again, KEYS)
     once = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(again, same, "left_anti").unionByName(once)

@@ -98,6 +98,22 @@ def test_keep_one(spark):
     assert got[200, None] == 1 and got[201, " "] == 1
 
 
+@pytest.mark.parametrize("keys", [1_000_000, 3])
+def test_keep_one_moves_texts_only_for_many_keys(spark, monkeypatch, keys):
+    """Few keys are broadcast whatever Spark's threshold; with more the texts are shuffled, for the same rows."""
+    monkeypatch.setattr(neardup, "KEYS", keys)
+    rows = [x for x in made(5) if x[0] is not None and x[0] != 1]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert ("Exchange hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()) == (keys == 3)
+        got = sorted(r["doc_id"] for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == sorted(d for d, n, c, _ in brute(rows, 5) if not n or d == c) and len(got) < len(rows) - 3
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.components(none).count() == 0 and neardup.keep_one(none).count() == 0

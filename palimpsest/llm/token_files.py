@@ -35,6 +35,8 @@ from .common import map_arrow, materialize, small
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
 #: A segment is closed with the document that fills it.
 SEGMENT_IDS = 500_000
+#: Characters of a text that count for where its shard begins.
+SAMPLED = 256
 MAGIC = b"PTK1"
 
 #: A word and signs after it: two pieces of the split pattern.
@@ -175,19 +177,35 @@ def segment_ids(code: Code, data: bytes) -> np.ndarray:
     return code.decode(data[20 + 4 * blocks :], np.frombuffer(data, "<u4", blocks, 20), n)
 
 
+def short(ids: np.ndarray) -> bytes:
+    """ids in two bytes each where they fit, else in four."""
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def ids_of(data: memoryview | pa.Buffer, n: int) -> np.ndarray:
+    """The n ids that short wrote."""
+    return np.frombuffer(data, "<u2" if len(memoryview(data)) == 2 * n else "<u4")
+
+
 def token_segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Rows (shard, segment, doc_ids, sizes, ids), in the order of doc_id; ids as binary."""
+    """Rows (shard, segment, doc_ids, sizes, ids, counts), in the order of doc_id; ids as binary, see short.
+
+    counts is in a shard's last row: how often each id comes in the shard, as 64-bit integers.
+    """
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         no, shard, held, size = 0, 0, [], 0
+        total, ready = np.zeros(0, np.int64), None
 
         def flush():
-            nonlocal no, held, size
-            row = {"shard": [shard], "segment": [no], "doc_ids": [[d for d, _ in held]], "sizes": [[len(x) // 4 for _, x in held]], "ids": [b"".join(x for _, x in held)]}
+            nonlocal no, held, size, total
+            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            total = added(total, np.bincount(ids))
+            row = {"shard": [shard], "segment": [no], "doc_ids": [[d for d, _ in held]], "sizes": [[len(x) // 4 for _, x in held]], "ids": [short(ids)], "counts": [None]}
             no, held, size = no + 1, [], 0
-            return pa.RecordBatch.from_pydict(row, schema)
+            return row
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -197,16 +215,30 @@ def token_segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFram
                     held.append((d, x + end))
                     size += len(x) // 4 + 1
                     if size >= SEGMENT_IDS:
-                        yield flush()
+                        if ready:
+                            yield pa.RecordBatch.from_pydict(ready, schema)
+                        ready = flush()
         if held:
-            yield flush()
+            if ready:
+                yield pa.RecordBatch.from_pydict(ready, schema)
+            ready = flush()
+        if ready:
+            yield pa.RecordBatch.from_pydict(ready | {"counts": [total.astype("<i8").tobytes()]}, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
-    # the sort's order makes tasks consecutive shards
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    return map_arrow(ordered, run, f"shard int, segment int, doc_ids array<{kind.simpleString()}>, sizes array<bigint>, ids binary")
+    schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
+    # the sort's order makes tasks consecutive shards; of texts the driver samples beginnings, which are in the texts' order
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, SAMPLED)).sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
+    return map_arrow(ordered, run, f"shard int, segment int, doc_ids array<{kind.simpleString()}>, sizes array<bigint>, ids binary, counts binary")
+
+
+def added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum of counts of different lengths."""
+    out = np.zeros(max(len(x), len(y)), np.int64)
+    out[: len(x)] += x
+    out[: len(y)] += y
+    return out
 
 
 def id_counts(segments: DataFrame) -> DataFrame:
@@ -216,14 +248,11 @@ def id_counts(segments: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+                total = added(total, np.frombuffer(x.as_buffer(), "<i8"))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return map_arrow(segments.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(segments.filter("counts is not null").select("counts"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
@@ -239,12 +268,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                data = segment_bytes(code, np.frombuffer(row.column(4)[0].as_buffer(), "<u4"))
+                data = segment_bytes(code, ids_of(row.column(4)[0].as_buffer(), sum(row.column(3)[0].as_py())))
                 yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([data], pa.binary())], names)
 
     names = ["shard", "segment", "doc_ids", "sizes", "data"]
     kind = segments.schema["doc_ids"].dataType.simpleString()
-    coded = map_arrow(segments, run, f"shard int, segment int, doc_ids {kind}, sizes array<bigint>, data binary")
+    coded = map_arrow(segments.drop("counts"), run, f"shard int, segment int, doc_ids {kind}, sizes array<bigint>, data binary")
     return materialize(coded, "segments"), lengths
 
 

@@ -16,7 +16,6 @@ and pieces beyond a bound of length are not kept. Other columns, whatever their
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkCache, Kept
-from .common import map_arrow
+from .common import kept_by_worker, map_arrow
 
 _MOST_PAIRS = 1_000_000
 
@@ -126,7 +125,7 @@ class Backtracking:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.cache
+@kept_by_worker
 def encoder(path: str, pattern: str) -> tuple[Backtracking, ChunkCache]:
     """One for each process."""
     own = Backtracking(path, pattern)

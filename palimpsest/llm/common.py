@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
 import re
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +43,35 @@ def ship(spark: SparkSession) -> None:
     sc._palimpsest_shipped = True
 
 
+_KEPT: list = []
+
+
+def kept_by_worker(f):
+    """functools.cache for what a worker keeps from one task to the next, until a task of another module makes room."""
+    f = functools.cache(f)
+    _KEPT.append(f)
+    return f
+
+
+def make_room(module: str) -> None:
+    """Drops what modules other than this one keep in the process: Spark's Python workers live on from one stage to the next."""
+    others = [f for f in _KEPT if f.__module__ != module and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()  # caches and what fills them refer to each other
+        pa.default_memory_pool().release_unused()
+
+
 #: Rows and bytes that go to and from Python at a time: whole texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches that are bounded by rows and bytes; both are settings of the session, and smaller ones stay."""
+    """df.mapInArrow in batches that are bounded by rows and bytes; both are settings of the session, and smaller ones stay.
+
+    Each task drops first what other modules' tasks have left in its worker.
+    """
     spark = df.sparkSession
     ship(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
@@ -53,7 +79,13 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
         got = str(spark.conf.get(key))
         if not got.isdigit() or int(got) > most or int(got) == 0:
             spark.conf.set(key, str(most))
-    return df.mapInArrow(run, schema)
+    module = run.__module__
+
+    def alone(batches):
+        make_room(module)
+        yield from run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 #: Shuffle files of a write that has ended are of no use; Spark keeps them until the driver collects its garbage.

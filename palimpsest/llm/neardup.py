@@ -297,7 +297,7 @@ def joined(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> tuple[Dat
     linked(pairs.union(many.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b"))))
     outside = None
     for turn in range(1, HUB_ROUNDS + 1):
-        left = many.join(labels, "node")
+        left = materialize(many.join(labels, "node"), "left")
         sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), *seeded(turn))
         top = F.max(F.struct("k", "comp", *(f"h{i}" for i in range(HUBS)))).alias("top")
         apart = sizes.groupBy("key").agg(top, F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("top.comp").alias("top"), F.array(*(F.col(f"top.h{i}.node") for i in range(HUBS))).alias("hubs"))
@@ -307,6 +307,7 @@ def joined(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> tuple[Dat
             break
         outside = now
         linked(rest.filter("comp <> top").select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
+        many = rest.select("key", "node")  # a key whose nodes are one component stays so
     if now:
         join_by(outside_links(rest, ends, texts, width, percent))
     least = labels.join(ends.select("node", "stands"), "node").groupBy("comp").agg(F.min("stands").alias("all"))

@@ -15,7 +15,6 @@ with the same doc_id follow each other by text. An empty table gives no segments
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache, Kept
-from .common import map_arrow, materialize, small
+from .common import kept_by_worker, map_arrow, materialize, small
 
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
 #: A segment is closed with the document that fills it.
@@ -45,7 +44,7 @@ _WORD = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BESIDE_LINE_END = re.compile(r"\s\n|\n\s|^\n|\n$")
 
 
-@functools.cache
+@kept_by_worker
 def tokenizer(path: str) -> ChunkCache:
     """A cache in front of the library, one for each process; special tokens' strings are ordinary text.
 

@@ -72,6 +72,30 @@ def test_outside_blocks_join_what_hubs_leave(spark, monkeypatch):
     assert got == Counter((d, n, c, d == c) for d, n, c, _ in brute(rows, 2))
 
 
+def test_rounds_leave_out_keys_that_are_whole(spark, monkeypatch):
+    """Keys and labels are joined once a round, and only for keys that still have several components."""
+    monkeypatch.setattr(neardup, "FEW", 2)
+    sizes, write = [], neardup.materialize
+
+    def counted(df, name, *codec):
+        out = write(df, name, *codec)
+        if name == "left":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    r = random.Random(1)
+    rows, w = [(1000 + i, "copy of one and the same long text with many words in it and then number%d" % i) for i in range(30)], ["w%d" % i for i in range(150)]
+    for i in range(60):
+        w = list(w)
+        for _ in range(r.choice((3, 7, 9))):
+            w[r.randrange(len(w))] = "e%d" % r.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    got = Counter(tuple(x) for x in neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == Counter((d, n, c, d == c) for d, n, c, _ in brute(rows, 2))
+    assert len(sizes) > 1 and sizes[1] < sizes[0] and sizes == sorted(sizes, reverse=True)
+
+
 def test_block_links_equal_pairs():
     r = random.Random(4)
     texts = [" ".join("w%d" % r.randrange(14) for _ in range(r.randrange(4, 30))) for _ in range(60)]

@@ -44,3 +44,14 @@ def test_mask_counts_characters_again(spark, odd):
 @pytest.mark.parametrize("stage", ["mask_personal_data", "mix_sources", "tokenize"])
 def test_empty_tables(spark, odd, stage):
     assert getattr(corpus_pipeline, stage)(spark, odd.limit(0), "").count() == 0
+
+
+def test_stages_drop_what_others_left_in_their_workers(spark, odd, monkeypatch):
+    """Workers go from stage to stage: what the last one keeps there must not stand beside what the next one needs."""
+    from palimpsest.llm import bpe, pii
+
+    monkeypatch.setattr(type(odd), "mapInArrow", lambda self, run, schema: run)
+    in_one_process = lambda run: (list(run(iter(()))), bpe.encoder.cache_info().currsize)[1]
+    assert in_one_process(bpe.encode(odd)) == 1
+    assert in_one_process(bpe.encode(odd)) == 1  # stays from task to task of its own stage
+    assert in_one_process(pii.mask(odd)) == 0
